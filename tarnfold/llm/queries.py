@@ -10,12 +10,14 @@ from tarnfold.llm.mixing import op3_source_mixing
 from tarnfold.llm.packing import op4_best_fit_packing
 from tarnfold.llm.quality import ORACLE as QUALITY_SQL
 from tarnfold.llm.quality import op1_quality_rules
+from tarnfold.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_quality_rules": lambda spark, d: op1_quality_rules(table(spark, d, "documents")),
     "op2_chat_formatting": lambda spark, d: op2_chat_formatting(spark, table(spark, d, "conversations")),
     "op3_source_mixing": lambda spark, d: op3_source_mixing(table(spark, d, "documents")),
     "op4_best_fit_packing": lambda spark, d: op4_best_fit_packing(table(spark, d, "documents")),
+    "op10_simhash": lambda spark, d: op10_simhash(table(spark, d, "documents")),
 }
 ORACLE_SQL = {
     "op1_quality_rules": QUALITY_SQL,
