@@ -5,6 +5,8 @@ from __future__ import annotations
 from tarnfold.llm.chat import ORACLE as CHAT_SQL
 from tarnfold.llm.chat import op2_chat_formatting
 from tarnfold.llm.common import table
+from tarnfold.llm.linededup import ORACLE as LINES_SQL
+from tarnfold.llm.linededup import op8_line_dedup
 from tarnfold.llm.mixing import ORACLE as MIX_SQL
 from tarnfold.llm.mixing import op3_source_mixing
 from tarnfold.llm.packing import op4_best_fit_packing
@@ -17,10 +19,12 @@ QUERIES = {
     "op2_chat_formatting": lambda spark, d: op2_chat_formatting(spark, table(spark, d, "conversations")),
     "op3_source_mixing": lambda spark, d: op3_source_mixing(table(spark, d, "documents")),
     "op4_best_fit_packing": lambda spark, d: op4_best_fit_packing(table(spark, d, "documents")),
+    "op8_line_dedup": lambda spark, d: op8_line_dedup(table(spark, d, "documents")),
     "op10_simhash": lambda spark, d: op10_simhash(table(spark, d, "documents")),
 }
 ORACLE_SQL = {
     "op1_quality_rules": QUALITY_SQL,
     "op2_chat_formatting": CHAT_SQL,
     "op3_source_mixing": MIX_SQL,
+    "op8_line_dedup": LINES_SQL,
 }
