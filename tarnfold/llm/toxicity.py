@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-The chain has two states, clean and toxic. A token's features are its word and its beginnings;
-weights add up to its emission, transitions make spans hang together. The model is learnt on
+The chain has two states, clean and toxic. A token's features are its word and those of its
+beginnings that tell toxic words; weights add up to its emission, transitions make spans hang together. The model is learnt on
 the driver from a bounded sample of labelled documents (SAMPLE of them, of at most SAMPLE_WORDS words);
 labelled tokens are those of toxic documents whose word or beginning is found in toxic documents and
 hardly in clean ones. Workers tag every token of every whole text: forward and backward messages of all
@@ -117,28 +117,30 @@ class Model:
 def markers(docs: list[list[bytes]], toxic: list[int]) -> set[str]:
     """Features that tell toxic documents: twenty times as frequent there as in clean ones, and not by chance.
 
-    What is counted are different places (a word between its two neighbours), so that copies of a
-    document count about once. Chance: a likelihood ratio of the feature's two rates against one
-    common rate, over SURE; and three places at least.
+    A word counts by its different places (between its two neighbours), so that copies of a document
+    count about once; a beginning counts by its different words, so that one word does not make its
+    beginnings suspect. Chance: a likelihood ratio of the feature's two rates against one common rate,
+    over SURE; and three counts at least.
     """
     places: tuple[set, set] = (set(), set())
     for words, y in zip(docs, toxic):
         places[y].update(zip([b"", *words], words, [*words[1:], b""]))
-    by_word = [Counter(w for _, w, _ in x) for x in places]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    tokens: tuple[Counter, Counter] = (Counter(), Counter())
+    types: tuple[Counter, Counter] = (Counter(), Counter())
     for y in (0, 1):
-        for w, n in by_word[y].items():
-            for f in features(w):
-                counts[y][f] += n
-    n0, n1 = max(1, len(places[0])), max(1, len(places[1]))
+        for w, n in Counter(w for _, w, _ in places[y]).items():
+            tokens[y][features(w)[0]] += n
+        for name in tokens[y]:
+            types[y].update(features(name[1:].encode())[1:])
     found = set()
-    for f, c1 in counts[1].items():
-        c0 = counts[0][f]
-        if c1 >= 3 and c1 / n1 > 20 * c0 / n0:
-            both = (c0 + c1) / (n0 + n1)
-            g = c1 * np.log(c1 / n1 / both) + (c0 * np.log(c0 / n0 / both) if c0 else 0.0)
-            if g > SURE:
-                found.add(f)
+    for counts in (tokens, types):
+        n0, n1 = max(1, counts[0].total()), max(1, counts[1].total())
+        for f, c1 in counts[1].items():
+            c0 = counts[0][f]
+            if c1 >= 3 and c1 / n1 > 20 * c0 / n0:
+                both = (c0 + c1) / (n0 + n1)
+                if c1 * np.log(c1 / n1 / both) + (c0 * np.log(c0 / n0 / both) if c0 else 0.0) > SURE:
+                    found.add(f)
     return found
 
 
@@ -155,7 +157,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Model | Non
             tags.append(y)
     if not marked or not seq:
         return None
-    lists = [features(w) for w in ids]
+    lists = [[f for f in features(w) if f[0] == "w" or f in marked] for w in ids]
     names: dict[str, int] = {}
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     col = np.array([names.setdefault(f, len(names)) for x in lists for f in x])
