@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnfold.llm import chat, langid, linededup, mixing, ngram_lm, packing, quality, simhash, toxicity
+from tarnfold.llm import ann, chat, langid, linededup, mixing, ngram_lm, packing, quality, simhash, toxicity
 from tarnfold.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_chat_formatting": lambda spark, d: chat.op2_chat_formatting(spark, table(spark, d, "conversations")),
     "op3_source_mixing": lambda spark, d: mixing.op3_source_mixing(table(spark, d, "documents")),
     "op4_best_fit_packing": lambda spark, d: packing.op4_best_fit_packing(table(spark, d, "documents")),
+    "op5_nearest_neighbours": lambda spark, d: ann.op5_nearest_neighbours(table(spark, d, "embeddings")),
     "op6_language_id": lambda spark, d: langid.op6_language_id(table(spark, d, "documents")),
     "op7_lm_scoring": lambda spark, d: ngram_lm.op7_lm_scoring(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: linededup.op8_line_dedup(table(spark, d, "documents")),
