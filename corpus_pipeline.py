@@ -1,16 +1,67 @@
-"""The corpus pipeline: documents through five operators to packed sequences."""
+"""The corpus pipeline: documents through five operators to packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs. All but the last return docs' own columns; n_chars follows the text where it changes.
+Packing returns a row for each piece: where it stands in which sequence.
+
+Defined results: as the operators state; a stage on an empty table returns an empty one. Rows without a
+doc_id go through all stages. Extra columns are kept up to packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnfold.llm import linededup, mixing, packing, simhash, toxicity
+from tarnfold.llm.common import own_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger scores at its threshold or above go."""
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of many documents stay in one of them; texts and their lengths change, no row goes."""
+    out = linededup.drop_lines(docs)
+    text = F.when(F.col("ld_dropped") > 0, F.col("ld_kept")).otherwise(F.col("text"))
+    chars = {"n_chars": F.when(F.col("ld_dropped") > 0, F.length("ld_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": text, **chars}).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group stays."""
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's rate says."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document: its sequence and its place there."""
+    return packing.op4_best_fit_packing(docs)
+
+
+#: (name, function of (spark, docs, sf_dir)) in order.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: (name, function of (spark, docs, sf_dir)) in order; each stage's result is written and read again.
-STAGES: list = []
+#: Toxicity and SimHash have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = own_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

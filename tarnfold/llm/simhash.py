@@ -232,7 +232,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     keep = near_duplicates(docs, radius).where("keeps").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
     hashed = docs.withColumn("near_hash_", F.xxhash64(text_of()))
     found = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("near_hash_") == F.col("keep_hash")), "left_semi")
-    one = Window.partitionBy("doc_id", "near_hash_").orderBy(F.lit(0))
+    one = Window.partitionBy("doc_id", "near_hash_").orderBy(F.xxhash64(*docs.columns))
     return found.withColumn("near_rank_", F.row_number().over(one)).where("near_rank_ = 1").select(*docs.columns)
 
 

@@ -275,6 +275,25 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(run, "doc_id long, text_hash long, score double, predicted int, spans array<struct<start:long,end:long>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score at the threshold or above, columns as they are.
+
+    Rows pass whole through the tagger, so nothing is joined back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value) if shared.value else None
+        for b in batches:
+            if tagger and b.num_rows:
+                ps = tagger.tag([t or "" for t in b.column(at).to_pylist()])
+                b = b.filter(pa.array([not len(p) or p.max() < threshold for p in ps]))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     s = score(docs, learn(docs, labels))
     return s.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "spans")
