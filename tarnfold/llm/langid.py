@@ -59,19 +59,21 @@ def counts(texts: list[str]) -> np.ndarray:
         if len(block) == 1 and n > _CHARS:  # one very long text, in parts that overlap by the longest n-gram
             t = block[0]
             for a in range(0, n, _CHARS):
-                out[at] += _count([t[a : a + _CHARS]])[0] if not a else _count([t[a - 2 : a + _CHARS]], skip=2)[0]
+                out[at] += _count([t[max(0, a - 2) : a + _CHARS]], skip=min(a, 2), gap="\n\n" * (a + _CHARS >= n))[0]
         else:
             out[at : at + len(block)] = _count(block)
         at += len(block)
     return out
 
 
-def _count(block: list[str], skip: int = 0) -> np.ndarray:
-    """Counts for texts laid end to end with gaps between; skip: n-grams that end in the first characters don't count."""
-    joined = "\n".join(block)
+def _count(block: list[str], skip: int = 0, gap: str = "\n\n") -> np.ndarray:
+    """Counts for texts laid end to end, a gap after each; skip: n-grams that end in the first characters don't count."""
+    joined = gap.join([*block, ""])
     c = _classes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     lengths = np.array([len(t) for t in block], dtype=np.int64)
-    row = np.repeat(np.arange(len(block)), lengths + (np.arange(len(block)) < len(block) - 1))
+    row = np.repeat(np.arange(len(block)), lengths + len(gap))
+    if not len(c):
+        return np.zeros((len(block), DIMS))
     prev, before = np.empty_like(c), np.empty_like(c)
     prev[0], prev[1:] = 0, c[:-1]
     before[0], before[1:] = 0, prev[:-1]

@@ -70,7 +70,7 @@ def packed(*columns: np.ndarray) -> bytes:
     import zstandard
 
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    raw = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *columns[1:])]
+    raw = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in (first, *columns[1:])]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
@@ -217,6 +217,8 @@ def count(docs: DataFrame, folder: str | None = None) -> Counted:
         rows = []
         for s in range(2**bits):
             mine = by == s
+            if not mine.any() and s:
+                continue
             data = packed(words[mine], *[x[mine].astype(np.uint64) for x in sums])
             rows.append((s, int(mine.sum()), data, *[int((c == i).sum()) if s == 0 else 0 for i in (1, 2, 3, 4)], len(c) if s == 0 else 0))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5))], names=["shard", "n", "data", "p1", "p2", "p3", "p4", "pairs"])
