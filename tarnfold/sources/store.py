@@ -23,14 +23,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = True) -> DataFrame:
-    """JSON documents of a known schema; a missing path or what is no JSON gives no rows."""
-    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON documents (an object or an array of them a file); a missing path or what is no JSON gives no rows."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(wide).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).select(*schema.names) if multi_line else rows.cache().where(F.col("_bad").isNull()).drop("_bad")
+    wanted = T.ArrayType(T._parse_datatype_string(schema))
+    parsed = F.from_json("value", wanted, {"mode": "PERMISSIVE"})
+    return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("row")).select("row.*")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
