@@ -38,6 +38,11 @@ def fold(col: str | Column, k: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
+def drawn(share: float | Column, *cols: str | Column) -> Column:
+    """True for about `share` of the rows, by a hash of cols: a sample without a sort or a top list for the driver."""
+    return F.pmod(F.xxhash64(*cols, F.lit("drawn")), F.lit(1 << 30)) / float(1 << 30) < share
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row instead of at each use."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import fold, n_words, text_of
+from tarnfold.llm.common import drawn, fold, n_words, text_of
 
 SAMPLE = 4000
 SAMPLE_WORDS = 800
@@ -36,8 +36,8 @@ ROUNDS = 30
 LEAST_WEIGHT = 0.05
 THRESHOLD = 0.7
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
-_TOKENS = 1 << 20  # tokens in one pass of forward and backward
-_KNOWN = 1 << 20  # words whose emissions a worker keeps
+_TOKENS = 1 << 18  # tokens in one pass of forward and backward
+_KNOWN = 1 << 18  # words whose emissions a worker keeps
 
 
 def features(word: bytes) -> list[str]:
@@ -262,8 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("tox_id")).agg(F.max(F.col("toxic") > 0).cast("int").alias("tox_label"))
     many = dict(map(tuple, marks.groupBy("tox_label").count().collect()))
     share = lambda y: min(1.0, SAMPLE / many.get(y, 1))
-    draw = F.pmod(F.xxhash64("tox_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = marks.where(draw < F.when(F.col("tox_label") == 1, share(1)).otherwise(share(0)))  # about 2 * SAMPLE rows
+    picked = marks.where(drawn(F.when(F.col("tox_label") == 1, share(1)).otherwise(share(0)), "tox_id"))  # about 2 * SAMPLE rows
     d = docs.select(F.col("doc_id").cast("long").alias("tox_id"), text_of().alias("tox_text"))
     rows = d.join(F.broadcast(picked), "tox_id").where(n_words(F.col("tox_text")).between(1, SAMPLE_WORDS)).select(F.xxhash64("tox_id").alias("h"), "tox_id", "tox_text", "tox_label").collect()
     texts: dict[str, int] = {}  # copies count once
