@@ -38,8 +38,8 @@ from tarnfold.llm.common import fold, own_dir, text_of
 BEGIN, END = np.uint64(1), np.uint64(2)
 _PAIRS = 1 << 21  # pairs counted at once
 _HELD = 1 << 22  # different pairs that a task holds before it sends them
-_TOKENS = 1 << 19  # tokens scored at once
-_WORDS = 1 << 21  # words whose hashes a worker keeps
+_TOKENS = 1 << 18  # tokens scored at once
+_WORDS = 1 << 19  # words whose hashes a worker keeps
 
 
 class Hashes(dict):
