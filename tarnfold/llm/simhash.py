@@ -9,7 +9,7 @@ the buckets up to t_i bits away. A bucket's members are verified exactly, and a
 forest of its links, never its pairs; a search from each member over those not yet reached ends as soon
 as all are, so buckets of close copies cost little more than their size. Components follow from the forest.
 
-The sample behind the estimates (SAMPLE fingerprints) decides only how much is probed where; any plan
+The sample behind the estimates (about SAMPLE fingerprints) decides only how much is probed where; any plan
 finds every link.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked as any other. Repeated rows
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import text_of, written
+from tarnfold.llm.common import drawn, text_of, written
 from tarnfold.llm.components import components
 
 WORDS = 4
@@ -166,7 +166,7 @@ def spanning_forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, in
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges whose components are those of all links within the radius among distinct fps."""
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in fps.where(drawn(SAMPLE / max(n, 1), "fp")).collect()], dtype=np.int64).view(np.uint64)
     parts = plan(sample, n, radius)
     spread = buckets(fps, parts)
     spread = spread.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
