@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, best bin first.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest norm; the tree
-is fitted on the driver to a bounded sample (SAMPLE vectors), and every vector is put into its leaf. A query
+is fitted on the driver to a bounded sample (about SAMPLE vectors), and every vector is put into its leaf. A query
 goes down the tree through a priority queue of branches, nearest centroid first. How many leaves it visits is
-calibrated: exact neighbours of CALIBRATION queries are found by brute force, and visits widen to the fewest
+calibrated: exact neighbours of about CALIBRATION queries are found by brute force, and visits widen to the fewest
 with which TARGET of them are reached (and on, until a query has seen enough vectors). Leaves are
 dealt out in groups of about GROUP vectors, large leaves over several groups; a group's vectors lie in
 memory while its queries stream past, each compared with the leaves that it visits.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import written
+from tarnfold.llm.common import drawn, written
 
 K = 20
 SAMPLE = 20_000
@@ -160,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     in_class = F.dense_rank().over(Window.partitionBy("x").orderBy("vec_id"))
     index = written(vectors.withColumn("r", in_class).where(F.col("r") <= k + 1).select("vec_id", "x").distinct(), "vectors")
     largest = float(np.sqrt(index.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0))
-    sample = _matrix(index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()["x"].combine_chunks(), d)
+    sample = _matrix(index.where(drawn(SAMPLE / max(index.count(), 1), "vec_id", "x")).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
     tree = Tree(widened(sample, largest))
     shared = spark.sparkContext.broadcast((tree, largest))  # at most a node for each vector of the sample
 
@@ -255,7 +255,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
 
 def _calibrated(leaved: DataFrame, classes: DataFrame, tree: Tree, largest: float, d: int, k: int, target: float) -> int:
     """The fewest leaves with which a sample of queries reaches `target` of its exact neighbours."""
-    rows = classes.orderBy("c").limit(CALIBRATION).select("x").toArrow()["x"].combine_chunks()
+    rows = classes.where(drawn(CALIBRATION / max(classes.count(), 1), "c")).orderBy("c").select("x").toArrow()["x"].combine_chunks()
     if not len(rows):
         return tree.n_leaves
     q = _matrix(rows, d)
