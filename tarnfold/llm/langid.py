@@ -4,7 +4,7 @@ A text's vector counts its character n-grams (1 to 3 characters of the lowered t
 letters taken as one gap) in hashed dimensions, damped, weighted by inverse document frequency and
 normalised. Document frequencies are counted over every training document, with one partial array for
 each task. Each language gets several centroids: spherical k-means over a bounded sample of its training
-documents (SAMPLE a language, by hash of the id). A text takes the language of the centroid of highest
+documents (about SAMPLE a language, by hash). A text takes the language of the centroid of highest
 cosine; it is rejected where that cosine is below `least`, a low quantile of the training sample's own.
 
 Defined results: `und` and score 0 for a null text, a text without letters, and where there is nothing to
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import fold, text_of
+from tarnfold.llm.common import drawn, fold, text_of
 
 DIMS = 1 << 12
 SAMPLE = 400
@@ -148,12 +148,11 @@ def learn(docs: DataFrame) -> Model | None:
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    first = F.row_number().over(Window.partitionBy("lid_lang").orderBy(F.xxhash64("lid_id"), "lid_id", "h"))
-    ranked = train.select("lid_lang", "lid_id", F.xxhash64("lid_text").alias("h"), F.length("lid_text").alias("n")).withColumn("r", first).where(F.col("r") <= SAMPLE)
-    if ranked.select("lid_lang").distinct().count() > MOST_LANGUAGES:
+    langs = train.groupBy("lid_lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    picked = ranked.select(F.col("lid_lang").alias("l2"), F.col("lid_id").alias("i2"), F.col("h").alias("h2")).distinct()
-    sample = train.join(F.broadcast(picked), F.col("lid_id").eqNullSafe(F.col("i2")) & (F.col("lid_lang") == F.col("l2")) & (F.xxhash64("lid_text") == F.col("h2")))
+    shares = docs.sparkSession.createDataFrame([(lang, SAMPLE / many) for lang, many in langs], "l2 string, share double")
+    sample = train.join(F.broadcast(shares), F.col("lid_lang") == F.col("l2")).where(drawn(F.col("share"), "lid_id", "lid_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,9 +161,9 @@ def learn(docs: DataFrame) -> Model | None:
                 x = vectors(texts[a:z], idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = sample.select("lid_lang", "lid_text").mapInArrow(run, "lang string, x binary").groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("x")), 1, SAMPLE).alias("xs"))
+    rows = sample.select("lid_lang", "lid_text").mapInArrow(run, "lang string, x binary").groupBy("lang").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     centroids, languages, own = [], [], []
-    for lang, xs in rows.orderBy("lang").toLocalIterator():  # one language at a time: SAMPLE vectors
+    for lang, xs in rows.orderBy("lang").toLocalIterator():  # one language at a time: about SAMPLE vectors
         x = np.stack([np.frombuffer(v, dtype=np.float16) for v in xs]).astype(np.float32)
         c = k_means(x, CENTROIDS)
         own.append((x @ c.T).max(axis=1))
