@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators.index import Index, build
 from tarnfold.operators.search import Library
+from tarnfold.plans.query_lang import FIELDS
 
 KINDS = ("agenda_item", "attachment", "minutes")
 
@@ -15,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are cores, which only small inputs do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with the four fields: the first line as title, source and lang as item title and presenter."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
     return d.select(
         "doc_id", F.col("doc_id").alias("meeting_id"), kind.alias("kind"), F.concat(F.element_at(F.array(*map(F.lit, "ifm")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), F.col("doc_id").cast("string")).alias("ref"),
@@ -48,7 +55,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     """The corpus's index, built once a session and kept in memory or on disk, as Spark sees fit."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _built:
-        _built[key] = build(documents(spark, sf_dir)).cached()
+        _built[key] = build(documents(spark, sf_dir).select("doc_id", *FIELDS)).cached()
     return _built[key]
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions.tokens import tokens
@@ -43,21 +43,35 @@ class Index:
         return Index(self.postings.persist(), self.doc_len.persist(), self.n_docs, self.avg_len)
 
 
-def occurrences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(term, doc_id, field, pos) from the four fields of docs; field is its number in FIELDS."""
-    lists = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("field"), tokens(F.col(f)).alias("ts")) for i, f in enumerate(FIELDS)])
-    each = docs.select(F.col(key).alias("doc_id"), F.explode(lists).alias("f"))
-    return each.select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.ts").alias("pos", "term")).select("term", "doc_id", "field", "pos")
+def tokenised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, fields: the token arrays of the four fields)."""
+    return docs.select(F.col(key).alias("doc_id"), F.array(*[tokens(F.col(f)) for f in FIELDS]).alias("fields"))
 
 
-def lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    total: Column = sum((F.size(tokens(F.col(f))) for f in FIELDS[1:]), F.size(tokens(F.col(FIELDS[0]))))
-    return docs.select(F.col(key).alias("doc_id"), total.cast("long").alias("n_tokens"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, field, pos) of tokenised documents; field is its number in FIELDS."""
+    each = docs.select("doc_id", F.posexplode("fields").alias("field", "ts"))
+    return each.select("doc_id", F.col("field").cast("tinyint").alias("field"), F.posexplode("ts").alias("pos", "term")).select("term", "doc_id", "field", "pos")
 
 
-def build(docs: DataFrame, key: str = "doc_id") -> Index:
-    """The index of docs, which has key and the four fields; nothing runs but the two corpus figures."""
-    return Index.of(occurrences(docs, key), lengths(docs, key))
+def lengths(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens) of tokenised documents."""
+    return docs.select("doc_id", F.aggregate("fields", F.lit(0).cast("long"), lambda n, ts: n + F.size(ts)).alias("n_tokens"))
+
+
+def build(docs: DataFrame, key: str = "doc_id", path: str | None = None) -> Index:
+    """The index of docs, which has key and the four fields.
+
+    With a path the index is written there: texts are tokenised once, into a table from which the postings
+    are ranged and sorted. Without one nothing runs but the two corpus figures.
+    """
+    made = tokenised(docs, key)
+    if path is None:
+        return Index.of(occurrences(made), lengths(made))
+    made.write.mode("overwrite").parquet(f"{path}/tokens")
+    made = docs.sparkSession.read.schema(made.schema).parquet(f"{path}/tokens")
+    Index(occurrences(made), lengths(made), 0, 0.0).write(path)
+    return Index.read(docs.sparkSession, path)
 
 
 def document_frequencies(index: Index) -> DataFrame:

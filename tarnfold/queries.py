@@ -82,9 +82,9 @@ P = lambda text, prefix=False, column=None: (text.split(), prefix, column)  # no
 
 # Full text -------------------------------------------------------------------------------------------------
 
-query("fts_tokenize", f"WITH {SRC} SELECT doc_id, field::TINYINT AS field, pos::INT AS pos, term FROM occ")(lambda s, d: idx.occurrences(c.documents(s, d)).select("doc_id", "field", "pos", "term"))
+query("fts_tokenize", f"WITH {SRC} SELECT doc_id, field::TINYINT AS field, pos::INT AS pos, term FROM occ")(lambda s, d: idx.occurrences(idx.tokenised(c.documents(s, d))).select("doc_id", "field", "pos", "term"))
 query("fts_postings_df", f"WITH {SRC} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM occ GROUP BY term")(lambda s, d: idx.document_frequencies(c.index(s, d)))
-query("fts_doc_len", f"WITH {SRC} SELECT doc_id, n::BIGINT AS n_tokens FROM len")(lambda s, d: idx.lengths(c.documents(s, d)))
+query("fts_doc_len", f"WITH {SRC} SELECT doc_id, n::BIGINT AS n_tokens FROM len")(lambda s, d: idx.lengths(idx.tokenised(c.documents(s, d))))
 
 _ranked_query("fts_term", "erblest", [P("erblest")])
 _ranked_query("fts_and", "erblest whou", [P("erblest"), P("whou")])
@@ -418,7 +418,7 @@ def _sql_rejoin(t: str) -> str:
 
 
 def _text_query(name: str, make, sql: str):
-    query(name, f"WITH m AS (SELECT doc_id, {_sql_mess()} AS t FROM documents) SELECT doc_id, {sql} AS out FROM m")(lambda s, d: c.table(s, d, "documents").select("doc_id", make(_messy()).alias("out")))
+    query(name, f"WITH m AS (SELECT doc_id, {_sql_mess()} AS t FROM documents) SELECT doc_id, {sql} AS out FROM m")(lambda s, d: c.spread(c.table(s, d, "documents")).select("doc_id", make(_messy()).alias("out")))
 
 
 _text_query("normalize_text", text.normalize, _sql_normalize("t"))
