@@ -464,10 +464,10 @@ def _cancelled(s, d):
     return c.table(s, d, "orders").select("o_orderkey", text.cancelled_title(made).alias("t")).select("o_orderkey", "t.cancelled", "t.title")
 
 
-AT = Addresses("https://portal.example.org", "964")
+AT = Addresses("https://portal.example.org", "77")
 
 
-@query("addresses", "SELECT o_orderkey, 'https://portal.example.org/Public/Agenda/964?meeting=' || o_orderkey AS agenda, 'https://portal.example.org/Documents/DownloadPDF/' || o_orderkey || '?org=964' AS pdf, o_orderkey::VARCHAR AS meeting, 'https://portal.example.org/x/' || o_orderkey AS resolved FROM orders")
+@query("addresses", "SELECT o_orderkey, 'https://portal.example.org/Public/Agenda/77?meeting=' || o_orderkey AS agenda, 'https://portal.example.org/Documents/DownloadPDF/' || o_orderkey || '?org=77' AS pdf, o_orderkey::VARCHAR AS meeting, 'https://portal.example.org/x/' || o_orderkey AS resolved FROM orders")
 def _addresses(s, d):
     k = F.col("o_orderkey")
     made = AT.column("agenda", k)

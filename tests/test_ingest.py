@@ -99,15 +99,15 @@ def test_feed(spark):
     rows = [("f1", "Bell\x07 <schedule>", "attachment", "https://x/?a&b", "5.A.", "2026-08-01 10:00:00", "2026-08-03", "Business Meeting"), ("m2", "M", "minutes", "u", None, "not a date", None, "")]
     df = spark.createDataFrame(rows, "ref string, title string, kind string, source_url string, item_label string, first_seen string, date string, meeting_name string")
     now = F.lit("2026-09-09 00:00:00").cast("timestamp")
-    xml = feed.atom(df, "964", "T & x", "sub", "https://s/", now)
-    assert "<title>Bell &lt;schedule&gt;</title>" in xml and 'href="https://x/?a&amp;b"' in xml and "urn:documents:964:f1" in xml
+    xml = feed.atom(df, "77", "T & x", "sub", "https://s/", now)
+    assert "<title>Bell &lt;schedule&gt;</title>" in xml and 'href="https://x/?a&amp;b"' in xml and "urn:documents:77:f1" in xml
     assert "<summary>Business Meeting · 2026-08-03 · item 5.A.</summary>" in xml and xml.count("<entry>") == 2
     assert "<updated>2026-08-01T10:00:00.000Z</updated>" in xml and xml.count("2026-09-09T00:00:00.000Z") == 2
     import xml.etree.ElementTree as et
 
     et.fromstring(xml.encode())
-    empty = feed.atom(df.limit(0), "964", "T", now=now)
-    assert "<entry>" not in empty and 'href=""' not in empty and "<id>urn:documents:964</id>" in empty
+    empty = feed.atom(df.limit(0), "77", "T", now=now)
+    assert "<entry>" not in empty and 'href=""' not in empty and "<id>urn:documents:77</id>" in empty
 
 
 def test_config(tmp_path):
