@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tarnfold.operators.index import Index, build
 from tarnfold.operators.search import Library
 from tarnfold.plans.query_lang import FIELDS
+from tarnfold.shipping import ship
 
 KINDS = ("agenda_item", "attachment", "minutes")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

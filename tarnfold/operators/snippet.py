@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.markup import CLOSE, OPEN
 from tarnfold.functions.tokens import RAW_RUN, fold_text
 from tarnfold.plans.query_lang import FIELDS, Term
+from tarnfold.shipping import ship
 
 ELLIPSIS = "…"
 LENGTHS = {"title": 40, "item_title": 24, "presenter": 24, "text": 22}
@@ -74,4 +75,5 @@ def snippet_column(col: str | Column, terms: list[Term], field: str, n: int | No
 def with_snippets(rows: DataFrame, terms: list[Term]) -> DataFrame:
     """rows with snip, tsnip, isnip and psnip, for text, title, item title and presenter."""
     names = {"text": "snip", "title": "tsnip", "item_title": "isnip", "presenter": "psnip"}
+    ship(rows.sparkSession)
     return rows.withColumns({names[f]: snippet_column(f, terms, f) for f in FIELDS})
