@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, written
+from tarnfold.llm.common import drawn, in_arrow, written
 
 K = 20
 SAMPLE = 20_000
@@ -169,7 +169,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(widened(_matrix(b.column(1), d), largest))), *b.columns], ["leaf", "vec_id", "x"])
 
-    leaved = written(index.mapInArrow(in_leaf, "leaf int, vec_id long, x array<double>"), "leaves")
+    leaved = written(in_arrow(index, in_leaf, "leaf int, vec_id long, x array<double>"), "leaves")
     in_leaves = dict(map(tuple, leaved.groupBy("leaf").count().collect()))  # a row for each leaf
     asked = written(queries.select(class_of.alias("c"), "vec_id", "x"), "queries")
     classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
@@ -211,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), part.column(1).take(take)], ["group", "kind", "c", "leaves", "x"])
 
     schema = "group int, kind int, c struct<a:long,b:long>, leaves array<int>, x array<double>"
-    sent = classes.select("c", "x").mapInArrow(to_groups, schema)
+    sent = in_arrow(classes.select("c", "x"), to_groups, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = -1, [], None
@@ -244,7 +244,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                     yield pa.RecordBatch.from_arrays([some.column(2), pa.array(near, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], ["c", "near"])
 
     both = dealt.unionByName(sent).repartition("group").sortWithinPartitions("group", "kind")
-    some = both.mapInArrow(compare, "c struct<a:long,b:long>, near array<struct<score:double,vec_id:long>>")
+    some = in_arrow(both, compare, "c struct<a:long,b:long>, near array<struct<score:double,vec_id:long>>")
     each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id")
     best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))
     top = each.withColumn("r", best).where(F.col("r") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "score", "vec_id"))).alias("near"))
@@ -268,7 +268,7 @@ def _calibrated(leaved: DataFrame, classes: DataFrame, tree: Tree, largest: floa
             i, s, at = zip(*out) if out else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(s, pa.float64()), pa.array(at, pa.int32())], ["q", "score", "leaf"])
 
-    near = leaved.mapInArrow(brute, "q int, score double, leaf int")
+    near = in_arrow(leaved, brute, "q int, score double, leaf int")
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))).where(F.col("r") <= k + 1)
     orders = [{leaf: n for n, leaf in enumerate(bins)} for bins in tree.best_bins(as_query(q, largest))]
     needed = sorted(orders[i][leaf] for i, leaf in top.where("r > 1").select("q", "leaf").collect())  # k rows a query; the nearest is itself

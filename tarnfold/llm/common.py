@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.shipping import ship
+
 #: The six white-space characters that end a word, and words as the contracts state them.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,7 +17,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; over all cores where its files make fewer tasks than there are cores, which only small ones do."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow on workers that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def text_of(col: str | Column = "text") -> Column:

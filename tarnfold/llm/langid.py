@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, fold, text_of
+from tarnfold.llm.common import drawn, fold, in_arrow, text_of
 
 DIMS = 1 << 12
 SAMPLE = 400
@@ -116,7 +116,7 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMS), pa.int32()), pa.array(np.append(n, df))], ["dim", "n"])
 
-    rows = train.select("lid_text").mapInArrow(run, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect()  # DIMS + 1 rows
+    rows = in_arrow(train.select("lid_text"), run, "dim int, n long").groupBy("dim").agg(F.sum("n")).collect()  # DIMS + 1 rows
     found = dict(map(tuple, rows))
     return np.array([found.get(i, 0) for i in range(DIMS)], dtype=float), found.get(-1, 0)
 
@@ -161,7 +161,7 @@ def learn(docs: DataFrame) -> Model | None:
                 x = vectors(texts[a:z], idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = sample.select("lid_lang", "lid_text").mapInArrow(run, "lang string, x binary").groupBy("lang").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = in_arrow(sample.select("lid_lang", "lid_text"), run, "lang string, x binary").groupBy("lang").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     centroids, languages, own = [], [], []
     for lang, xs in rows.orderBy("lang").toLocalIterator():  # one language at a time: about SAMPLE vectors
         x = np.stack([np.frombuffer(v, dtype=np.float16) for v in xs]).astype(np.float32)
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     t = text_of()
-    return docs.select(F.col("doc_id").cast("long"), t.alias("text"), t.rlike(r"\p{L}").alias("has")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), t.alias("text"), t.rlike(r"\p{L}").alias("has")), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op6_language_id(docs: DataFrame) -> DataFrame:

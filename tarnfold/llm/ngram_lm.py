@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import fold, own_dir, text_of
+from tarnfold.llm.common import fold, in_arrow, own_dir, text_of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
 _PAIRS = 1 << 21  # pairs counted at once
@@ -233,7 +233,7 @@ def count(docs: DataFrame, folder: str | None = None) -> Counted:
         out |= {k: sum(table[k].to_pylist()) for k in ("p1", "p2", "p3", "p4", "pairs")}
         return pa.table({k: [int(x)] for k, x in out.items()})
 
-    packs = texts.mapInArrow(pairs, "shard int, n int, data binary")
+    packs = in_arrow(texts, pairs, "shard int, n int, data binary")
     parts = packs.groupBy("shard").applyInArrow(add_pairs, "shard int, n int, data binary, p1 long, p2 long, p3 long, p4 long, pairs long")
     names = ["n", "v", "texts", "b1", "b2", "b3", "b4", "p1", "p2", "p3", "p4", "pairs"]
     done = parts.groupBy("shard").applyInArrow(add_words, ", ".join(f"{k} long" for k in names))
@@ -321,7 +321,7 @@ def score(docs: DataFrame, counted: Counted) -> DataFrame:
             n, known, base, own = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([counted.n] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names)
 
-    out = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = in_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tarnfold.llm.common import text_of, written
+from tarnfold.llm.common import in_arrow, text_of, written
 
 SIZE = 2048
 END_ID = 0
@@ -89,7 +89,7 @@ def tokenised(docs: DataFrame, path: str, ranks_path: str | None = None, size: i
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), run, PIECES + ", ids array<int>" * with_ids)
 
 
 class Capacities:
@@ -200,7 +200,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             columns += [pa.array(run_first[at] + nth // run_per[at]), pa.array(run_offset[at] + nth % run_per[at] * length)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "part", "rank").mapInArrow(run, schema)
+    return in_arrow(ranked.select(*names, "part", "rank"), run, schema)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

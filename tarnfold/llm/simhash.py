@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, text_of, written
+from tarnfold.llm.common import drawn, in_arrow, text_of, written
 from tarnfold.llm.components import components
 
 WORDS = 4
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, k: int = WORDS, seed: int = SEED) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     t = text_of()
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.alias("text")), run, "doc_id long, text_hash long, fp long")
 
 
 def _order_bits(sample: np.ndarray) -> list[int]:
@@ -201,7 +201,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(held):
             yield joined(held)
 
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(spread, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

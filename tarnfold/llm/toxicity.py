@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, fold, n_words, text_of
+from tarnfold.llm.common import drawn, fold, in_arrow, n_words, text_of
 
 SAMPLE = 4000
 SAMPLE_WORDS = 800
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best), pa.array((best >= threshold).astype(np.int32)), pa.array(spans, spans_type)], ["doc_id", "text_hash", "score", "predicted", "spans"])
 
     t = text_of()
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(run, "doc_id long, text_hash long, score double, predicted int, spans array<struct<start:long,end:long>>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.xxhash64(t).alias("text_hash"), t.alias("text")), run, "doc_id long, text_hash long, score double, predicted int, spans array<struct<start:long,end:long>>")
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -306,7 +306,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
                 b = b.filter(pa.array([not len(p) or p.max() < threshold for p in ps]))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
