@@ -36,7 +36,7 @@ LEAF = 40
 BRANCHES = 8
 CALIBRATION = 200
 TARGET = 0.95
-GROUP = 8192
+GROUP, LARGEST_GROUP = 2048, 1 << 17
 SALTS = 8
 _BLOCK = 256
 
@@ -160,7 +160,9 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     in_class = F.dense_rank().over(Window.partitionBy("x").orderBy("vec_id"))
     index = written(vectors.withColumn("r", in_class).where(F.col("r") <= k + 1).select("vec_id", "x").distinct(), "vectors")
     largest = float(np.sqrt(index.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0))
-    sample = _matrix(index.where(drawn(SAMPLE / max(index.count(), 1), "vec_id", "x")).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
+    n_index = index.count()
+    size = max(GROUP, min(LARGEST_GROUP, n_index // (8 * spark.sparkContext.defaultParallelism)))
+    sample = _matrix(index.where(drawn(SAMPLE / max(n_index, 1), "vec_id", "x")).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
     tree = Tree(widened(sample, largest))
     shared = spark.sparkContext.broadcast((tree, largest))  # at most a node for each vector of the sample
 
@@ -175,13 +177,13 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
     visits = _calibrated(leaved, classes, tree, largest, d, k, target)
     # Leaves to groups: small leaves share one, large ones are dealt over several.
-    place, group, room = {}, 0, GROUP
+    place, group, room = {}, 0, size
     for leaf in range(tree.n_leaves):
         n = in_leaves.get(leaf, 0)
-        if n > room and room < GROUP:
-            group, room = group + 1, GROUP
-        if n > GROUP:
-            place[leaf] = (group, -(-n // GROUP))
+        if n > room and room < size:
+            group, room = group + 1, size
+        if n > size:
+            place[leaf] = (group, -(-n // size))
             group += place[leaf][1]
         else:
             place[leaf] = (group, 1)
