@@ -5,8 +5,8 @@ is fitted on the driver to a bounded sample (about SAMPLE vectors), and every ve
 goes down the tree through a priority queue of branches, nearest centroid first. How many leaves it visits is
 calibrated: exact neighbours of about CALIBRATION queries are found by brute force, and visits widen to the fewest
 with which TARGET of them are reached (and on, until a query has seen enough vectors). Leaves are
-dealt out in groups of about GROUP vectors, large leaves over several groups; a group's vectors lie in
-memory while its queries stream past, each compared with the leaves that it visits.
+dealt out in groups, a few for each core and of GROUP vectors at least, large leaves over several; a group's
+vectors lie in memory while its queries stream past, each compared with the leaves that it visits.
 
 Equal vectors tie, so of each only the K + 1 smallest ids can be among any query's K nearest: the index
 keeps those, ranked with a limit before the shuffle, and equal queries are searched once. So a vector
