@@ -169,7 +169,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     runs, _ = pack_histogram(counts, size)
-    most = max(2048, sum(counts.values()) // 65536)
+    most = max(256, sum(counts.values()) // 65536)
     parts = spark.createDataFrame([(n, -(-c // most)) for n, c in counts.items()], "length long, parts int")
     placed = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("parts")).cast("int")).drop("parts")
     by_part = placed.groupBy("length", "part").count().collect()  # at most 65536 and a row for each length
