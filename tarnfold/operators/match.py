@@ -32,27 +32,38 @@ def _places(term: Term) -> list[tuple[int, Column]]:
     return out
 
 
-def hits(index: Index, terms: list[Term]) -> DataFrame:
-    """(doc_id, term_no, field, n): how often each term occurs in each field. A term without tokens has no hits."""
+def occurrences_of(index: Index, terms: list[Term]) -> DataFrame:
+    """(doc_id, term_no, field), a row for each occurrence of each term. A term without tokens has none."""
     places = [(no, len(term.tokens()), at, fits) for no, term in enumerate(terms) for at, fits in _places(term)]
     if not places:
-        return index.postings.where(F.lit(False)).select("doc_id", F.lit(0).alias("term_no"), "field", F.lit(0).cast("long").alias("n"))
+        return index.postings.where(F.lit(False)).select("doc_id", F.lit(0).alias("term_no"), "field")
     rows = index.postings.where(reduce(lambda a, b: a | b, [p[3] for p in places]))
     made = F.array(*[F.when(fits, F.struct(F.lit(no).alias("term_no"), F.lit(size).alias("size"), F.lit(at).alias("at"))) for no, size, at, fits in places])
     each = rows.select("doc_id", "field", "pos", F.explode(F.filter(made, lambda p: p.isNotNull())).alias("p")).select("doc_id", "field", "pos", "p.*")
-    single = each.where("size = 1").groupBy("doc_id", "term_no", "field").agg(F.count("*").alias("n"))
+    single = each.where("size = 1").select("doc_id", "term_no", "field")
     if all(p[1] == 1 for p in places):
         return single
     full = each.where("size > 1").groupBy("doc_id", "term_no", "field", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("filled")).where("filled = size")
-    return single.unionByName(full.groupBy("doc_id", "term_no", "field").agg(F.count("*").alias("n")))
+    return single.unionByName(full.select("doc_id", "term_no", "field"))
+
+
+def hits(index: Index, terms: list[Term]) -> DataFrame:
+    """(doc_id, term_no, field, n): how often each term occurs in each field."""
+    return occurrences_of(index, terms).groupBy("doc_id", "term_no", "field").agg(F.count("*").alias("n"))
 
 
 def matches(index: Index, plan: Plan) -> DataFrame:
-    """(doc_id, tf_0.. for the plan's used terms): the documents that match, with weighted frequencies."""
+    """(doc_id, tf_0.. for the plan's used terms): the documents that match, with weighted frequencies.
+
+    What is summed are whole numbers for each term and field; weights come after, in a fixed order, so
+    results do not depend on how rows were dealt.
+    """
     terms = [*plan.used, *plan.negatives]
-    tf = lambda i: F.sum(F.when(F.col("term_no") == i, F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("field") + 1) * F.col("n")))
-    per_doc = hits(index, terms).groupBy("doc_id").agg(*[F.coalesce(tf(i), F.lit(0.0)).alias(f"tf_{i}") for i in range(len(terms))])
-    return per_doc.where(condition(plan)).select("doc_id", *[f"tf_{i}" for i in range(len(plan.used))])
+    n = lambda i, f: F.count_if((F.col("term_no") == i) & (F.col("field") == f)).alias(f"n_{i}_{f}")
+    per_doc = occurrences_of(index, terms).groupBy("doc_id").agg(*[n(i, f) for i in range(len(terms)) for f in range(len(FIELDS))])
+    tf = lambda i: reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"n_{i}_{f}") for f, w in enumerate(WEIGHTS)])
+    weighted = per_doc.select("doc_id", *[tf(i).alias(f"tf_{i}") for i in range(len(terms))])
+    return weighted.where(condition(plan)).select("doc_id", *[f"tf_{i}" for i in range(len(plan.used))])
 
 
 def condition(plan: Plan) -> Column:
@@ -67,7 +78,7 @@ def idf(index: Index, terms) -> list[float]:
     """Inverse document frequencies over the whole index, whatever filters a search adds. Runs one small job."""
     from math import log
 
-    df = {r.term_no: r.df for r in hits(index, list(terms)).groupBy("term_no").agg(F.count_distinct("doc_id").alias("df")).collect()}
+    df = {r.term_no: r.df for r in occurrences_of(index, list(terms)).groupBy("term_no").agg(F.count_distinct("doc_id").alias("df")).collect()}
     values = [log((index.n_docs - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) if index.n_docs else 0.0 for i in range(len(terms))]
     return [v if v > 0 else LEAST_IDF for v in values]
 
