@@ -207,12 +207,15 @@ def count(docs: DataFrame, folder: str | None = None) -> Counted:
         parts = [unpacked(d, n, np.uint64, np.uint64, np.uint32) for n, d in zip(table["n"].to_pylist(), table["data"].to_pylist())]
         u, w, c = (np.concatenate(x) for x in zip(*parts))
         del parts
-        h = pair_hash(u, w)
-        keys, at, (c,) = added_up(h, c.astype(np.uint64))
+        keys, at, (c,) = added_up(pair_hash(u, w), c.astype(np.uint64))
         u, w = u[at], w[at]
         _write(folder, f"pairs-{table['shard'][0].as_py():05d}", keys, np.minimum(c, 2**32 - 1).astype(np.uint32))
-        zero, one = np.zeros(len(c), dtype=np.uint64), np.ones(len(c), dtype=np.uint64)
-        words, _, sums = added_up(np.concatenate([w, u]), np.concatenate([c, zero]), np.concatenate([one, zero]), *[np.concatenate([zero, m.astype(np.uint64)]) for m in (c == 1, c == 2, c > 2)])
+        # Words after and words before are added up apart; only the much shorter sums meet.
+        after, _, (n_after, before) = added_up(w, c, np.ones(len(c), dtype=np.uint32))
+        ahead, _, follow = added_up(u, *[m.astype(np.uint32) for m in (c == 1, c == 2, c > 2)])
+        del u, w, keys, at
+        pad = lambda x, n, first: np.concatenate([x, np.zeros(n, dtype=x.dtype)] if first else [np.zeros(n, dtype=x.dtype), x])
+        words, _, sums = added_up(np.concatenate([after, ahead]), *[pad(x, len(ahead), True) for x in (n_after, before)], *[pad(x, len(after), False) for x in follow])
         by = shard_of(words * np.uint64(0x9E3779B97F4A7C15), bits)
         rows = []
         for s in range(2**bits):
