@@ -6,7 +6,8 @@ goes down the tree through a priority queue of branches, nearest centroid first.
 calibrated: exact neighbours of about CALIBRATION queries are found by brute force, and visits widen to the fewest
 with which TARGET of them are reached (and on, until a query has seen enough vectors). Leaves are
 dealt out in groups, a few for each core and of GROUP vectors at least, large leaves over several; a group's
-vectors lie in memory while its queries stream past, each compared with the leaves that it visits.
+vectors lie in memory while its queries stream past, each compared with the leaves that it visits. What a
+query finds in the sample bounds its k-th place, so a group returns only what may still take one.
 
 Equal vectors tie, so of each only the K + 1 smallest ids can be among any query's K nearest: the index
 keeps those, ranked with a limit before the shuffle, and equal queries are searched once. So a vector
@@ -119,6 +120,16 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
 
 
+NEAR = "array<struct<score:double,vec_id:long>>"
+
+
+def _near_array(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    ends = np.cumsum([0, *[len(i) for i, _ in found]]).astype(np.int32)
+    ids, scores = (np.concatenate([f[j] for f in found]) if found else np.zeros(0) for j in (0, 1))
+    rows = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(ids.astype(np.int64))], ["score", "vec_id"])
+    return pa.ListArray.from_arrays(pa.array(ends), rows)
+
+
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, spans: list[tuple[int, int, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of the k nearest of each query, ties to smaller ids.
 
@@ -162,8 +173,10 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     largest = float(np.sqrt(index.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0))
     n_index = index.count()
     size = max(GROUP, min(LARGEST_GROUP, n_index // (8 * spark.sparkContext.defaultParallelism)))
-    sample = _matrix(index.where(drawn(SAMPLE / max(n_index, 1), "vec_id", "x")).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
+    drawn_rows = index.where(drawn(SAMPLE / max(n_index, 1), "vec_id", "x")).orderBy("vec_id", "x").toArrow().combine_chunks()
+    sample, sample_ids = _matrix(drawn_rows["x"].combine_chunks(), d), drawn_rows["vec_id"].to_numpy()
     tree = Tree(widened(sample, largest))
+    of_sample = spark.sparkContext.broadcast((sample, sample_ids))
     shared = spark.sparkContext.broadcast((tree, largest))  # at most a node for each vector of the sample
 
     def in_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +189,18 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     asked = written(queries.select(class_of.alias("c"), "vec_id", "x"), "queries")
     classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
     visits = _calibrated(leaved, classes, tree, largest, d, k, target)
+
+    def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids = of_sample.value
+        for b in batches:
+            for at in range(0, b.num_rows, _BLOCK):
+                part = b.slice(at, _BLOCK)
+                found = nearest(_matrix(part.column(1), d), x, ids, k + 1)
+                least = [float(s[-1]) if len(s) > k else float("-inf") for _, s in found]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), _near_array(found)], ["c", "x", "least", "near"])
+
+    # What a query finds in the sample bounds its last place from below: groups return nothing beneath it.
+    classes = written(in_arrow(classes.select("c", "x"), first_look, f"c struct<a:long,b:long>, x array<double>, least double, near {NEAR}"), "classes")
     # Leaves to groups: small leaves share one, large ones are dealt over several.
     place, group, room = {}, 0, size
     for leaf in range(tree.n_leaves):
@@ -189,7 +214,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
             place[leaf] = (group, 1)
             room -= n
     groups = spark.createDataFrame([(leaf, *p) for leaf, p in place.items()], "leaf int, first int, many int")
-    dealt = leaved.join(F.broadcast(groups), "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("group"), F.lit(0).alias("kind"), F.struct(F.col("vec_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("c"), F.array("leaf").alias("leaves"), "x")
+    dealt = leaved.join(F.broadcast(groups), "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("group"), F.lit(0).alias("kind"), F.struct(F.col("vec_id").alias("a"), F.lit(0).cast("long").alias("b")).alias("c"), F.array("leaf").alias("leaves"), F.lit(0.0).alias("least"), "x")
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, largest = shared.value
@@ -210,10 +235,10 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                     rows += [(g, i, leaves) for g, leaves in by.items()]
                 g, i, leaves = zip(*rows) if rows else ((),) * 3
                 take = pa.array(i, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), part.column(1).take(take)], ["group", "kind", "c", "leaves", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), part.column(2).take(take), part.column(1).take(take)], ["group", "kind", "c", "leaves", "least", "x"])
 
-    schema = "group int, kind int, c struct<a:long,b:long>, leaves array<int>, x array<double>"
-    sent = in_arrow(classes.select("c", "x"), to_groups, schema)
+    schema = "group int, kind int, c struct<a:long,b:long>, leaves array<int>, least double, x array<double>"
+    sent = in_arrow(classes.select("c", "x", "least"), to_groups, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = -1, [], None
@@ -225,7 +250,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                 if group[a] != now:
                     now, held, index = group[a], [], None
                 if kind[a] == 0:
-                    held.append((part.column(2).field(0).to_numpy(), part.column(3).flatten().to_numpy(), _matrix(part.column(4), d)))
+                    held.append((part.column(2).field(0).to_numpy(), part.column(3).flatten().to_numpy(), _matrix(part.column(5), d)))
                     continue
                 if not held:
                     continue
@@ -238,16 +263,15 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                 ids, x, parts = index
                 for at in range(0, part.num_rows, _BLOCK):
                     some = part.slice(at, _BLOCK)
-                    q = _matrix(some.column(4), d)
+                    q, least = _matrix(some.column(5), d), some.column(4).to_numpy()
                     goes = [set(v) for v in some.column(3).to_pylist()]
                     spans = [(s, e, np.array(rows)) for leaf, s, e in parts if (rows := [i for i, g in enumerate(goes) if leaf in g])]
-                    found = nearest(q, x, ids, k + 1, spans)
-                    near = [[{"score": s, "vec_id": i} for i, s in zip(i_.tolist(), s_.tolist())] for i_, s_ in found]
-                    yield pa.RecordBatch.from_arrays([some.column(2), pa.array(near, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], ["c", "near"])
+                    found = [(i[s >= low], s[s >= low]) for (i, s), low in zip(nearest(q, x, ids, k + 1, spans), least)]
+                    yield pa.RecordBatch.from_arrays([some.column(2), _near_array(found)], ["c", "near"])
 
     both = dealt.unionByName(sent).repartition("group").sortWithinPartitions("group", "kind")
-    some = in_arrow(both, compare, "c struct<a:long,b:long>, near array<struct<score:double,vec_id:long>>")
-    each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id")
+    some = in_arrow(both, compare, f"c struct<a:long,b:long>, near {NEAR}").unionByName(classes.select("c", "near"))
+    each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id").distinct()
     best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))
     top = each.withColumn("r", best).where(F.col("r") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "score", "vec_id"))).alias("near"))
     salted = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
