@@ -6,8 +6,8 @@ goes down the tree through a priority queue of branches, nearest centroid first.
 calibrated: exact neighbours of about CALIBRATION queries are found by brute force, and visits widen to the fewest
 with which TARGET of them are reached (and on, until a query has seen enough vectors). Leaves are
 dealt out in groups, a few for each core and of GROUP vectors at least, large leaves over several; a group's
-vectors lie in memory while its queries stream past, each compared with the leaves that it visits. What a
-query finds in the sample bounds its k-th place, so a group returns only what may still take one.
+vectors lie in memory while its queries stream past, each compared with the leaves that it visits. The
+sample's vectors in those leaves bound the query's last place, so a group returns only what may still take one.
 
 Equal vectors tie, so of each only the K + 1 smallest ids can be among any query's K nearest: the index
 keeps those, ranked with a limit before the shuffle, and equal queries are searched once. So a vector
@@ -173,10 +173,9 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     largest = float(np.sqrt(index.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0))
     n_index = index.count()
     size = max(GROUP, min(LARGEST_GROUP, n_index // (8 * spark.sparkContext.defaultParallelism)))
-    drawn_rows = index.where(drawn(SAMPLE / max(n_index, 1), "vec_id", "x")).orderBy("vec_id", "x").toArrow().combine_chunks()
-    sample, sample_ids = _matrix(drawn_rows["x"].combine_chunks(), d), drawn_rows["vec_id"].to_numpy()
+    in_sample = drawn(SAMPLE / max(n_index, 1), "vec_id", "x")
+    sample = _matrix(index.where(in_sample).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
     tree = Tree(widened(sample, largest))
-    of_sample = spark.sparkContext.broadcast((sample, sample_ids))
     shared = spark.sparkContext.broadcast((tree, largest))  # at most a node for each vector of the sample
 
     def in_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,22 +184,12 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(widened(_matrix(b.column(1), d), largest))), *b.columns], ["leaf", "vec_id", "x"])
 
     leaved = written(in_arrow(index, in_leaf, "leaf int, vec_id long, x array<double>"), "leaves")
+    looked_at = leaved.where(in_sample).select("leaf", "x").toArrow().combine_chunks()
+    of_sample = spark.sparkContext.broadcast((_matrix(looked_at["x"].combine_chunks(), d), looked_at["leaf"].to_numpy()))
     in_leaves = dict(map(tuple, leaved.groupBy("leaf").count().collect()))  # a row for each leaf
     asked = written(queries.select(class_of.alias("c"), "vec_id", "x"), "queries")
     classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
     visits = _calibrated(leaved, classes, tree, largest, d, k, target)
-
-    def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, ids = of_sample.value
-        for b in batches:
-            for at in range(0, b.num_rows, _BLOCK):
-                part = b.slice(at, _BLOCK)
-                found = nearest(_matrix(part.column(1), d), x, ids, k + 1)
-                least = [float(s[-1]) if len(s) > k else float("-inf") for _, s in found]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least, pa.float64()), _near_array(found)], ["c", "x", "least", "near"])
-
-    # What a query finds in the sample bounds its last place from below: groups return nothing beneath it.
-    classes = written(in_arrow(classes.select("c", "x"), first_look, f"c struct<a:long,b:long>, x array<double>, least double, near {NEAR}"), "classes")
     # Leaves to groups: small leaves share one, large ones are dealt over several.
     place, group, room = {}, 0, size
     for leaf in range(tree.n_leaves):
@@ -218,11 +207,13 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
 
     def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, largest = shared.value
+        sample, sample_leaf = of_sample.value
         for b in batches:
             for at in range(0, b.num_rows, _BLOCK):
                 part = b.slice(at, _BLOCK)
                 x = _matrix(part.column(1), d)
-                rows: list[tuple[int, int, list[int]]] = []
+                near, room = x @ sample.T, 1e-12 * largest * np.sqrt((x**2).sum(axis=1))
+                rows: list[tuple[int, int, list[int], float]] = []
                 for i, bins in enumerate(tree.best_bins(as_query(x, largest))):
                     seen, n, by = 0, 0, {}
                     for leaf in bins:
@@ -232,13 +223,18 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                             seen, n = seen + 1, n + in_leaves[leaf]
                             for g in range(place[leaf][0], sum(place[leaf])):
                                 by.setdefault(g, []).append(leaf)
-                    rows += [(g, i, leaves) for g, leaves in by.items()]
-                g, i, leaves = zip(*rows) if rows else ((),) * 3
+                    # The sample's vectors in these leaves will be found there: the k-th of them bounds what groups return.
+                    visited = np.zeros(tree.n_leaves, dtype=bool)
+                    visited[[leaf for leaves in by.values() for leaf in leaves]] = True
+                    seen_here = near[i][visited[sample_leaf]]
+                    low = np.partition(seen_here, len(seen_here) - k - 1)[len(seen_here) - k - 1] - room[i] if len(seen_here) > k else -np.inf
+                    rows += [(g, i, leaves, float(low)) for g, leaves in by.items()]
+                g, i, leaves, least = zip(*rows) if rows else ((),) * 4
                 take = pa.array(i, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), part.column(2).take(take), part.column(1).take(take)], ["group", "kind", "c", "leaves", "least", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), pa.array(least, pa.float64()), part.column(1).take(take)], ["group", "kind", "c", "leaves", "least", "x"])
 
     schema = "group int, kind int, c struct<a:long,b:long>, leaves array<int>, least double, x array<double>"
-    sent = in_arrow(classes.select("c", "x", "least"), to_groups, schema)
+    sent = in_arrow(classes.select("c", "x"), to_groups, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = -1, [], None
@@ -270,8 +266,8 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                     yield pa.RecordBatch.from_arrays([some.column(2), _near_array(found)], ["c", "near"])
 
     both = dealt.unionByName(sent).repartition("group").sortWithinPartitions("group", "kind")
-    some = in_arrow(both, compare, f"c struct<a:long,b:long>, near {NEAR}").unionByName(classes.select("c", "near"))
-    each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id").distinct()
+    some = in_arrow(both, compare, f"c struct<a:long,b:long>, near {NEAR}")
+    each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id")
     best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))
     top = each.withColumn("r", best).where(F.col("r") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("r", "score", "vec_id"))).alias("near"))
     salted = top.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
