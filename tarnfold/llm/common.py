@@ -54,6 +54,22 @@ def drawn(share: float | Column, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit("drawn")), F.lit(1 << 30)) / float(1 << 30) < share
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names that are not columns of df: each with as many underscores behind it as that takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns by name, whatever characters are in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row instead of at each use."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,16 +2,17 @@
 
 Normalised lines become 128-bit hashes, once for each document; their documents are counted with
 partial sums, so a line of a third of all rows is no hot spot; what is over the threshold forms the
-drop list with, for each hash, the one document that keeps it. The drop list meets the lines by a join
-in which both sides carry a salt, and each document then gets back only the positions to drop, by which
+drop list with, for each hash, the one document that keeps it. The drop list meets the lines twice: its
+most common hashes by broadcast (those of more than HOT_SHARE of what is counted, so at most as many as
+the inverse of that), so that no task gets the rows of a hot line, and the others by a shuffle on the hash. Each document then gets back only the positions to drop, by which
 its lines are put together again from the runs in between. Texts themselves are shuffled once.
 
 Key of a line: the line without the blanks [\\x20\\x09-\\x0D] at its ends, A-Z in lower case.
 
 Defined results: a null or empty text is one empty line. Documents are told apart by doc_id (repeated
 rows of one id count once and are treated alike; a null id counts as a document before all others). An
-empty table gives an empty result. Extra columns pass through `drop_lines`; names starting with ld_ are
-used inside.
+empty table gives an empty result. Extra columns of any name pass through unchanged: names that are added
+give way to them (an underscore more).
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import BLANKS, ascii_lower, text_of, written
+from tarnfold.llm.common import BLANKS, ascii_lower, fresh, own_columns, text_of, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-SALTS = 16
+#: Hashes of more than this share of all counted (hash, document) pairs are met by broadcast; at least HOT_LEAST documents.
+HOT_SHARE, HOT_LEAST = 0.0001, 1000
 
 
 def line_key(line: Column) -> Column:
@@ -43,8 +45,11 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = written(_hashes(docs, min_chars), "lines")
     per_doc = lines.select("ld_id", "h1", "h2").distinct()
     listed = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("ld_id").alias("stays")).where(F.col("docs") >= min_docs)
-    salted = listed.select("h1", "h2", "stays", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = lines.withColumn("salt", F.pmod(F.xxhash64("ld_id", "ld_text", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h1", "h2", "salt"])
+    listed = written(listed, "listed")
+    hot = F.col("docs") > max(HOT_LEAST, HOT_SHARE * (listed.agg(F.sum("docs")).first()[0] or 0))
+    common = F.broadcast(listed.where(hot).select("h1", "h2", "stays"))  # at most 1 / HOT_SHARE rows
+    rest = lines.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti").join(listed.where(~hot).select("h1", "h2", "stays"), ["h1", "h2"])
+    met = lines.join(common, ["h1", "h2"]).unionByName(rest)
     gone = met.where(~F.col("ld_id").eqNullSafe(F.col("stays")))
     return gone.groupBy("ld_id", "ld_text").agg(F.array_sort(F.collect_set("at")).alias("ld_drop"))
 
@@ -56,15 +61,24 @@ def without(lines: Column, drop: Column) -> Column:
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with ld_lines and ld_dropped (counts) and ld_kept, the text that stays."""
-    gone = dropped_positions(docs, min_chars, min_docs).withColumnsRenamed({"ld_id": "ld_id2", "ld_text": "ld_text2"})
-    d = docs.withColumn("ld_text", F.xxhash64(text_of()))
-    met = d.join(gone, F.col("doc_id").eqNullSafe(F.col("ld_id2")) & (F.col("ld_text") == F.col("ld_text2")), "left")
+    """docs with three columns behind its own: ld_lines and ld_dropped (counts) and ld_kept, the text that stays."""
+    key, split, gone_id, gone_text, drop, *added = fresh(docs, "ld_text", "ld_split", "ld_id2", "ld_text2", "ld_drop", "ld_lines", "ld_dropped", "ld_kept")
+    gone = dropped_positions(docs, min_chars, min_docs).withColumnsRenamed({"ld_id": gone_id, "ld_text": gone_text, "ld_drop": drop})
+    d = docs.withColumn(key, F.xxhash64(text_of()))
+    met = d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_text)), "left")
     # The join's projection stays apart from the next, so that the split isn't made again at each use.
-    lines = met.withColumn("ld_split", F.split(text_of(), "\n", -1))
-    kept = F.when(F.col("ld_drop").isNull(), text_of()).otherwise(F.array_join(without(F.col("ld_split"), F.col("ld_drop")), "\n"))
-    out = lines.withColumns({"ld_lines": F.size("ld_split").cast("long"), "ld_dropped": F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long"), "ld_kept": kept})
-    return out.select(*docs.columns, "ld_lines", F.when(F.col("ld_drop").isNull(), F.lit(0).cast("long")).otherwise(F.col("ld_dropped")).alias("ld_dropped"), "ld_kept")
+    lines = met.withColumn(split, F.split(text_of(), "\n", -1))
+    kept = F.when(F.col(drop).isNull(), text_of()).otherwise(F.array_join(without(F.col(split), F.col(drop)), "\n"))
+    dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(drop)).cast("long")
+    return lines.select(*own_columns(docs), *[c.alias(name) for c, name in zip((F.size(split).cast("long"), dropped, kept), added)])
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, columns as they are: text without the lines that go, and n_chars, if there is one, of the new text; no row goes."""
+    out = drop_lines(docs, min_chars, min_docs)
+    dropped, kept = out.columns[-2:]
+    changes = {"text": F.col(kept)} | ({"n_chars": F.length(kept).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[F.when(F.col(dropped) > 0, changes[name]).otherwise(c).alias(name) if name in changes else c for name, c in zip(docs.columns, own_columns(docs))])
 
 
 def op8_line_dedup(docs: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """An interpolated modified Kneser-Ney bigram model over the whole training corpus.
 
-Counting: each task counts its word pairs and sends them, packed, to shards by the pair's hash, so that a
-frequent word's pairs are dealt over all shards. A shard adds them up, writes its pairs as a sorted array
-of hashes with counts to the shared folder, and sends each word's part of the statistics (tokens,
-different words before it, how many different words follow it once, twice, more often) to word shards,
-which add them up and write the same kind of file. The driver sees a few sums a shard, from which come the
-discounts. Scoring: workers memory-map the files and look a block of tokens up in sorted order;
-probabilities are put together from counts there, so nothing is joined and nothing else is shuffled.
+Counting: each task adds up its word pairs and sends them, packed, to cells by the leading bits of the pair's hash, so
+that a frequent word's pairs are dealt over all cells. Their number follows from the bytes of all texts (CELL_BYTES
+each), not from how the input is partitioned. A few neighbouring cells form a shard, which one task works off cell by
+cell, so it never holds more than a cell: it appends the cell's pairs, as sorted hashes with counts, to
+the shard's file. What the cells tell of their words (tokens, different words before it, how many different words
+follow it once, twice, more often) is added up across all cells that a task sees and sent on in the same way to word
+cells, whose shards are the same kind of file. More cells than FANOUT are reached in two steps, so what a task sends is at most FANOUT
+packs a flush in each. Discounts come from sums over the shards. Scoring: workers memory-map the files and look a block of tokens up in
+sorted order; probabilities are put together from counts there, so nothing is joined and nothing else is shuffled.
 
 The order is two: a shuffle of all three-word counts would take several times the input (see README).
 
-Files are written under a name of their own and renamed, so a task that runs twice leaves one copy. The
-model folder is in spark.checkpoint.dir, which must be mounted on the workers (file: or a plain path)
-for memory-mapping; otherwise pass `folder`.
+Files are written under a name of their own and renamed, so a task that runs twice leaves one copy. Each shard returns a
+row of the manifest, with the bytes of its file; a worker that does not find a file of the manifest, or
+finds another size, stops with an error, so a folder that the workers do not share is never taken for an empty model. The
+folder is in spark.checkpoint.dir, which must be mounted on the workers (file: or a plain path) for
+memory-mapping; otherwise pass `folder`.
 
 Tokens: words of the text with A-Z lowered, then one end. Probabilities sum to one over the training
 tokens' V values and one unknown.
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +41,14 @@ from pyspark.sql import functions as F
 from tarnfold.llm.common import fold, in_arrow, own_dir, text_of
 
 BEGIN, END = np.uint64(1), np.uint64(2)
+#: Bytes of text for each cell of pairs, and bits that tell the cells of one file; words take a quarter of the cells.
+CELL_BYTES, SHARD_BITS = 8 << 20, 2
+FANOUT_BITS = 12
 _PAIRS = 1 << 21  # pairs counted at once
-_HELD = 1 << 22  # different pairs that a task holds before it sends them
+_HELD = 1 << 22  # different pairs or words that a task holds before it sends them
 _TOKENS = 1 << 18  # tokens scored at once
 _WORDS = 1 << 19  # words whose hashes a worker keeps
+_OPEN = 4096  # files that a worker keeps mapped
 
 
 class Hashes(dict):
@@ -95,39 +104,171 @@ def added_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[starts], order[starts], [np.add.reduceat(v[order], starts) if len(k) else v for v in values]
 
 
-def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
+def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), dtype=np.int64)
 
 
-def _write(folder: str, name: str, *columns: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        np.array([len(columns[0])], dtype="<u8").tofile(f)
-        for c in columns:
-            np.ascontiguousarray(c).tofile(f)
-    os.replace(part, f"{folder}/{name}")
+def word_key(w: np.ndarray) -> np.ndarray:
+    return w * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mapped(path: str, types) -> list[np.ndarray]:
-    """The columns of a file, memory-mapped; 8-byte columns come first, so all are aligned."""
-    n = int(np.fromfile(path, dtype="<u8", count=1)[0])
-    at, out = 8, []
-    for t in types:
-        out.append(np.memmap(path, dtype=t, mode="r", offset=at, shape=(n,)) if n else np.zeros(0, dtype=t))
-        at += n * np.dtype(t).itemsize
-    return out
+class Kind:
+    """What is counted: columns that name it, columns that are summed, and the hash that deals it to cells."""
+
+    def __init__(self, name: str, ids: int, sums: int, key):
+        self.name, self.ids, self.sums, self.key = name, ids, sums, key
+
+    @property
+    def types(self) -> list:
+        return [np.uint64] * (self.ids + self.sums)
+
+
+PAIRS = Kind("pairs", 2, 1, pair_hash)
+WORDS = Kind("words", 1, 5, word_key)  # tokens, before, then followed once, twice, more often
+PACKS = "cell long, n int, data binary"
+TOLD = -1  # the cell of rows that are no packs
+
+
+class Held:
+    """Sums by key, held until there are enough, then sent as one pack for each cell."""
+
+    def __init__(self, kind: Kind, bits: int):
+        self.kind, self.bits, self.held, self.n = kind, bits, [], 0
+        self.most = _HELD // (kind.ids + kind.sums - 2)
+
+    def add(self, ids: list[np.ndarray], sums: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.held.append((self.kind.key(*ids), *ids, *sums))
+        self.n += len(ids[0])
+        if self.n >= self.most and len(self.held) > 1:
+            self._merge()
+            if self.n >= self.most // 2:
+                yield from self.sent()
 
+    def _merge(self) -> None:
+        keys, *columns = (np.concatenate(x) for x in zip(*self.held))
+        k = self.kind
+        keys, at, sums = added_up(keys, *columns[k.ids :])
+        self.held = [(keys, *[c[at] for c in columns[: k.ids]], *sums)]
+        self.n = len(keys)
 
-_PAIR_TYPES = (np.uint64, np.uint32)
-_WORD_TYPES = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64)  # hash, tokens, before, then once, twice, more
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        self._merge()
+        keys, *columns = self.held[0]
+        cells = cell_of(keys, self.bits)
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else []
+        rows = []
+        for a, b in zip(starts, np.append(starts[1:], len(cells))):
+            order = np.lexsort([c[a:b] for c in reversed(columns[: self.kind.ids])])
+            rows.append((int(cells[a]), int(b - a), packed(*[c[a:b][order] for c in columns])))
+        self.held, self.n = [], 0
+        if rows:
+            yield _rows(rows)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], kind: Kind, told: list[bytes]) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """(cell, ids, sums) of each cell of packs in order of cell, added up and in order of key. Rows of cell TOLD go to told."""
+    now, parts = None, []
+
+    def added() -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        _, at, sums = added_up(kind.key(*columns[: kind.ids]), *columns[kind.ids :])
+        return now, [c[at] for c in columns[: kind.ids]], sums
+
+    for b in batches:
+        for cell, n, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if cell == TOLD:
+                told.append(data)
+                continue
+            if cell != now and parts:
+                yield added()
+                parts = []
+            now = cell
+            parts.append(unpacked(data, n, *kind.types))
+    if parts:
+        yield added()
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], ["cell", "n", "data"])
+
+
+def dealt(packs: DataFrame, kind: Kind, bits: int) -> DataFrame:
+    """packs, made for at most FANOUT_BITS, by shard and in order of cell for `bits`; beyond those by a second step."""
+    if bits > FANOUT_BITS:
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Held(kind, bits)
+            for b in batches:
+                for cell, n, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if cell == TOLD:
+                        yield _rows([(cell, n, data)])
+                        continue
+                    columns = unpacked(data, n, *kind.types)
+                    yield from held.add(columns[: kind.ids], columns[kind.ids :])
+            yield from held.sent()
+
+        # Neighbouring cells of the first step share a task, so a flush reaches few cells of the second.
+        packs = in_arrow(packs.repartition("cell").sortWithinPartitions("cell"), again, PACKS)
+    return packs.repartition(F.shiftright("cell", SHARD_BITS)).sortWithinPartitions("cell")
+
+
+class ShardFile:
+    """A shard's file, written cell by cell: hashes ascend from cell to cell. Each column has a file of its own until all are put together."""
+
+    def __init__(self, folder: str, kind: Kind, shard: int):
+        os.makedirs(folder, exist_ok=True)
+        self.path, self.n = f"{folder}/{kind.name}-{shard}", 0
+        self.parts = [f"{folder}/.{kind.name}-{shard}-{uuid.uuid4().hex}-{i}" for i in range(2 if kind is PAIRS else 6)]
+        self.files = [open(p, "wb") for p in self.parts]
+        self.large: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Counts take a byte; those of 255 and more, which are few, stand with their hashes behind the header."""
+        self.n += len(keys)
+        self.large.append((keys[counts >= 255], counts[counts >= 255]))
+        keys.tofile(self.files[0])
+        np.minimum(counts, 255).astype(np.uint8).tofile(self.files[1])
+
+    def words(self, words: np.ndarray, sums: list[np.ndarray]) -> None:
+        self.n += len(words)
+        for f, c in zip(self.files, (words, *sums)):
+            c.astype(np.uint64).tofile(f)
+
+    def close(self) -> tuple[int, int]:
+        """(rows, bytes) of the file, which is there as a whole or not at all."""
+        for f in self.files:
+            f.close()
+        large = [np.concatenate(c) for c in zip(*self.large)] if self.large else [np.zeros(0, dtype=np.uint64)] * 2
+        with open(f"{self.parts[0]}.whole", "wb") as whole:
+            np.array([self.n, len(large[0])], dtype="<u8").tofile(whole)
+            for c in large:
+                c.astype(np.uint64).tofile(whole)
+            for p in self.parts:
+                with open(p, "rb") as part:
+                    while block := part.read(1 << 24):
+                        whole.write(block)
+                os.remove(p)
+            size = whole.tell()
+        os.replace(f"{self.parts[0]}.whole", self.path)
+        return self.n, size
+
+
+def _mapped(path: str, kind: Kind) -> list[np.ndarray]:
+    """A shard's columns, memory-mapped: for pairs hashes, counts, then hashes and counts of the large ones."""
+    n, m = (int(x) for x in np.fromfile(path, dtype="<u8", count=2))
+    at, out = 16, []
+    for t, rows in [(np.uint64, m)] * 2 + ([(np.uint64, n), (np.uint8, n)] if kind is PAIRS else [(np.uint64, n)] * 6):
+        out.append(np.memmap(path, dtype=t, mode="r", offset=at, shape=(rows,)) if rows else np.zeros(0, dtype=t))
+        at += rows * np.dtype(t).itemsize
+    return [*out[2:], *out[:2]] if kind is PAIRS else out[2:]
 
 
 class Counted:
-    """What scoring needs besides the files."""
+    """What scoring needs besides the files: their manifest {(kind, shard): bytes} and sums."""
 
-    def __init__(self, folder: str, bits: int, sums: dict[str, int]):
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str, bits: dict[str, int], manifest: dict[tuple[str, int], int], sums: dict[str, int]):
+        self.folder, self.bits, self.manifest = folder, bits, manifest
         self.n, self.v, self.pairs, self.texts = sums["n"], sums["v"], sums["pairs"], sums["texts"]
         self.discounts = discounts([sums[f"p{i}"] for i in (1, 2, 3, 4)])
         self.low_discounts = discounts([sums[f"b{i}"] for i in (1, 2, 3, 4)])
@@ -146,6 +287,20 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array(d)
 
 
+def word_sums(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(words, their five sums) of different pairs. Words after and words before are added up apart; only the much shorter sums meet."""
+    after, _, (n_after, before) = added_up(w, c, np.ones(len(c), dtype=np.uint64))
+    ahead, _, follow = added_up(u, *[m.astype(np.uint64) for m in (c == 1, c == 2, c > 2)])
+    pad = lambda x, n, first: np.concatenate([x, np.zeros(n, dtype=x.dtype)] if first else [np.zeros(n, dtype=x.dtype), x])
+    words, _, sums = added_up(np.concatenate([after, ahead]), *[pad(x, len(ahead), True) for x in (n_after, before)], *[pad(x, len(after), False) for x in follow])
+    return words, sums
+
+
+def bits_for(n_bytes: int, cell_bytes: int) -> int:
+    """Leading bits of the hash that make a cell of about cell_bytes of n_bytes of text."""
+    return max(0, -(-n_bytes // cell_bytes) - 1).bit_length()
+
+
 def count(docs: DataFrame, folder: str | None = None) -> Counted:
     """Counts the pairs of docs' whole texts into files under folder."""
     spark = docs.sparkSession
@@ -154,35 +309,20 @@ def count(docs: DataFrame, folder: str | None = None) -> Counted:
         raise ValueError(f"{folder} can't be memory-mapped; pass a folder that is mounted on the workers")
     folder = "/" + folder.removeprefix("file:").lstrip("/")
     texts = docs.select(text_of().alias("text"))
-    bits = max(2, min(16, (max(1, texts.rdd.getNumPartitions()) - 1).bit_length()))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = {"pairs": bits_for(n_bytes, CELL_BYTES), "words": bits_for(n_bytes, 4 * CELL_BYTES)}
+    first_bits = {k: min(b, FANOUT_BITS) for k, b in bits.items()}
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, ...]:
-            h, u, w, c = (np.concatenate(x) for x in zip(*held))
-            keys, at, (total,) = added_up(h, c)
-            return keys, u[at], w[at], total
-
-        def sent() -> pa.RecordBatch:
-            h, u, w, c = held[0]
-            cut = np.searchsorted(shard_of(h, bits), np.arange(2**bits + 1))
-            rows = []
-            for s, (a, b) in enumerate(zip(cut, cut[1:])):
-                if b > a:
-                    order = np.lexsort((w[a:b], u[a:b]))
-                    rows.append((s, b - a, packed(u[a:b][order], w[a:b][order], c[a:b][order].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "data"])
-
-        def take(seq: list[int]) -> None:
+        hashes, held = Hashes(), Held(PAIRS, first_bits["pairs"])
+
+        def take(seq: list[int]) -> Iterator[pa.RecordBatch]:
             a = np.array(seq, dtype=np.uint64)
             u, w = a[:-1], a[1:]
             u, w = u[w != BEGIN], w[w != BEGIN]
             u = np.where(u == END, BEGIN, u)
-            h = pair_hash(u, w)
-            keys, at, (c,) = added_up(h, np.ones(len(h), dtype=np.uint64))
-            held.append((keys, u[at], w[at], c))
+            _, at, (c,) = added_up(pair_hash(u, w), np.ones(len(u), dtype=np.uint64))
+            yield from held.add([u[at], w[at]], [c])
 
         seq: list[int] = [1]
         for b in batches:
@@ -190,58 +330,69 @@ def count(docs: DataFrame, folder: str | None = None) -> Counted:
                 seq += [hashes[w] for w in tokens(t.as_py())]
                 seq.append(2)  # the next text's first word follows an end, taken as its beginning
                 if len(seq) >= _PAIRS:
-                    take(seq)
+                    yield from take(seq)
                     seq = [1]
-                    if len(held) > 1 and sum(len(x[0]) for x in held) >= _HELD:
-                        held[:] = [merged()]
-                        if len(held[0][0]) >= _HELD // 2:
-                            yield sent()
-                            held.clear()
         if len(seq) > 1:
-            take(seq)
-        if held:
-            held[:] = [merged()]
-            yield sent()
-
-    def add_pairs(table: pa.Table) -> pa.Table:
-        parts = [unpacked(d, n, np.uint64, np.uint64, np.uint32) for n, d in zip(table["n"].to_pylist(), table["data"].to_pylist())]
-        u, w, c = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        keys, at, (c,) = added_up(pair_hash(u, w), c.astype(np.uint64))
-        u, w = u[at], w[at]
-        _write(folder, f"pairs-{table['shard'][0].as_py():05d}", keys, np.minimum(c, 2**32 - 1).astype(np.uint32))
-        # Words after and words before are added up apart; only the much shorter sums meet.
-        after, _, (n_after, before) = added_up(w, c, np.ones(len(c), dtype=np.uint32))
-        ahead, _, follow = added_up(u, *[m.astype(np.uint32) for m in (c == 1, c == 2, c > 2)])
-        del u, w, keys, at
-        pad = lambda x, n, first: np.concatenate([x, np.zeros(n, dtype=x.dtype)] if first else [np.zeros(n, dtype=x.dtype), x])
-        words, _, sums = added_up(np.concatenate([after, ahead]), *[pad(x, len(ahead), True) for x in (n_after, before)], *[pad(x, len(after), False) for x in follow])
-        by = shard_of(words * np.uint64(0x9E3779B97F4A7C15), bits)
+            yield from take(seq)
+        yield from held.sent()
+
+    def shards(batches: Iterator[pa.RecordBatch], kind: Kind, told: list[bytes], each) -> Iterator[tuple[int, int, int]]:
+        """each(file, ids, sums) for each cell; (shard, rows, bytes) once a shard is done."""
+        file, now = None, -1
+        for cell, ids, sums in _cells(batches, kind, told):
+            if cell >> SHARD_BITS != now:
+                if file:
+                    yield now, *file.close()
+                now = cell >> SHARD_BITS
+                file = ShardFile(folder, kind, now)
+            each(file, ids, sums)
+        if file:
+            yield now, *file.close()
+
+    def add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs of words and, as rows of cell TOLD, a line of the manifest for each shard with its counts of counts."""
+        held, out, of_counts = Held(WORDS, first_bits["words"]), [], np.zeros(4, dtype=np.int64)
+
+        def each(file: ShardFile, ids: list[np.ndarray], sums: list[np.ndarray]) -> None:
+            file.pairs(pair_hash(*ids), sums[0])
+            of_counts[:] += np.bincount(np.minimum(sums[0], 5).astype(np.int64), minlength=6)[1:5]
+            words, word_rows = word_sums(*ids, sums[0])
+            out.extend(held.add([words], word_rows))
+
+        for shard in shards(batches, PAIRS, [], each):
+            yield _rows([(TOLD, 0, np.array([*shard, *of_counts], dtype="<i8").tobytes())])
+            of_counts[:] = 0
+            yield from out
+            out.clear()
+        yield from held.sent()
+
+    def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(7, dtype=np.int64)  # tokens, words, texts, words that have 1 to 4 different ones before them
+
+        def each(file: ShardFile, ids: list[np.ndarray], columns: list[np.ndarray]) -> None:
+            words, tok, before = ids[0], columns[0], columns[1]
+            file.words(word_key(words), columns)
+            sums[:3] += [int(tok.sum()), int((tok > 0).sum()), int(tok[words == END].sum())]
+            sums[3:] += np.bincount(np.minimum(before, 5).astype(np.int64), minlength=6)[1:5]
+
+        told: list[bytes] = []
         rows = []
-        for s in range(2**bits):
-            mine = by == s
-            if not mine.any() and s:
-                continue
-            data = packed(words[mine], *[x[mine].astype(np.uint64) for x in sums])
-            rows.append((s, int(mine.sum()), data, *[int((c == i).sum()) if s == 0 else 0 for i in (1, 2, 3, 4)], len(c) if s == 0 else 0))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 5))], names=["shard", "n", "data", "p1", "p2", "p3", "p4", "pairs"])
-
-    def add_words(table: pa.Table) -> pa.Table:
-        parts = [unpacked(d, n, *_WORD_TYPES) for n, d in zip(table["n"].to_pylist(), table["data"].to_pylist())]
-        words, *sums = (np.concatenate(x) for x in zip(*parts))
-        words, _, sums = added_up(words, *sums)
-        _write(folder, f"words-{table['shard'][0].as_py():05d}", words, *sums)
-        tokens_, before = sums[0], sums[1]
-        out = {"n": tokens_.sum(), "v": (tokens_ > 0).sum(), "texts": tokens_[words == END].sum(), **{f"b{i}": (before == i).sum() for i in (1, 2, 3, 4)}}
-        out |= {k: sum(table[k].to_pylist()) for k in ("p1", "p2", "p3", "p4", "pairs")}
-        return pa.table({k: [int(x)] for k, x in out.items()})
-
-    packs = in_arrow(texts, pairs, "shard int, n int, data binary")
-    parts = packs.groupBy("shard").applyInArrow(add_pairs, "shard int, n int, data binary, p1 long, p2 long, p3 long, p4 long, pairs long")
-    names = ["n", "v", "texts", "b1", "b2", "b3", "b4", "p1", "p2", "p3", "p4", "pairs"]
-    done = parts.groupBy("shard").applyInArrow(add_words, ", ".join(f"{k} long" for k in names))
-    sums = done.agg(*[F.sum(k).alias(k) for k in names]).first().asDict()
-    return Counted(folder, bits, {k: int(x or 0) for k, x in sums.items()})
+        for shard in shards(batches, WORDS, told, each):
+            rows.append((WORDS.name, *shard, sums.tolist()))
+            sums[:] = 0
+        for data in told:
+            shard, n, size, *counts = np.frombuffer(data, dtype="<i8").tolist()
+            rows.append((PAIRS.name, shard, n, size, counts))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["kind", "shard", "n", "bytes", "sums"])
+
+    packs = in_arrow(texts, pairs, PACKS)
+    made = in_arrow(dealt(packs, PAIRS, bits["pairs"]), add_pairs, PACKS)
+    told = in_arrow(dealt(made, WORDS, bits["words"]), add_words, "kind string, shard long, n long, bytes long, sums array<long>").collect()  # a row for each file
+    manifest = {(r.kind, r.shard): r.bytes for r in told}
+    total = {kind.name: np.sum([[r.n, *r.sums] for r in told if r.kind == kind.name] or [[0] * 8], axis=0, dtype=np.int64).tolist() for kind in (PAIRS, WORDS)}
+    sums = dict(zip(("pairs", "p1", "p2", "p3", "p4"), total["pairs"])) | dict(zip(("n", "v", "texts", "b1", "b2", "b3", "b4"), total["words"][1:]))
+    return Counted(folder, bits, manifest, sums)
 
 
 class Model:
@@ -249,29 +400,43 @@ class Model:
 
     def __init__(self, counted: Counted):
         self.c = counted
-        self.files: dict[str, list[np.ndarray]] = {}
-
-    def _file(self, name: str, types) -> list[np.ndarray]:
-        if name not in self.files:
-            path = f"{self.c.folder}/{name}"
-            self.files[name] = _mapped(path, types) if os.path.exists(path) else [np.zeros(0, dtype=t) for t in types]
-        return self.files[name]
-
-    def look_up(self, kind: str, types, keys: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
-        """The columns beside each key, 0 where it is missing. by: what the shard is taken from."""
-        shard = shard_of(by, self.c.bits)
-        order = np.lexsort((keys, shard))
-        out = [np.zeros(len(keys), dtype=np.float64) for _ in types[1:]]
-        cut = np.searchsorted(shard[order], np.arange(2**self.c.bits + 1))
-        for s, (a, b) in enumerate(zip(cut, cut[1:])):
-            if b > a:
-                file = self._file(f"{kind}-{s:05d}", types)
-                mine = order[a:b]
-                at = np.searchsorted(file[0], keys[mine])
-                ok = at < len(file[0])
-                ok[ok] = file[0][at[ok]] == keys[mine][ok]
-                for o, f in zip(out, file[1:]):
-                    o[mine[ok]] = f[at[ok]]
+        self.files: OrderedDict[tuple[str, int], list[np.ndarray]] = OrderedDict()
+
+    def _file(self, kind: Kind, shard: int) -> list[np.ndarray] | None:
+        """The columns of a shard's file; None where no words or pairs are in the shard."""
+        at = kind.name, shard
+        if at not in self.c.manifest:
+            return None
+        if at not in self.files:
+            path = f"{self.c.folder}/{kind.name}-{shard}"
+            size = os.path.getsize(path) if os.path.exists(path) else None
+            if size != self.c.manifest[at]:
+                raise FileNotFoundError(f"{path} has {size} bytes where {self.c.manifest[at]} were written: is spark.checkpoint.dir (or the folder passed) mounted on all workers?")
+            self.files[at] = _mapped(path, kind)
+            if len(self.files) > _OPEN:
+                self.files.popitem(last=False)
+        return self.files[at]
+
+    def look_up(self, kind: Kind, by: np.ndarray) -> list[np.ndarray]:
+        """The sums beside each key, 0 where it is missing."""
+        bits = max(0, self.c.bits[kind.name] - SHARD_BITS)
+        order = np.argsort(by, kind="stable")
+        out = [np.zeros(len(by), dtype=np.float64) for _ in range(kind.sums)]
+        shard = cell_of(by[order], bits)
+        starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+        for a, b in zip(starts, np.append(starts[1:], len(shard))):
+            file = self._file(kind, int(shard[a]))
+            if file is None:
+                continue
+            mine = order[a:b]
+            at = np.searchsorted(file[0], by[mine])
+            ok = at < len(file[0])
+            ok[ok] = file[0][at[ok]] == by[mine][ok]
+            for o, f in zip(out, file[1 : 1 + kind.sums]):
+                o[mine[ok]] = f[at[ok]]
+            if kind is PAIRS and (out[0][mine] == 255).any():
+                large = mine[out[0][mine] == 255]
+                out[0][large] = file[3][np.searchsorted(file[2], by[large])]
         return out
 
     def score(self, texts: list[list[bytes]]) -> list[tuple[int, int, float, float]]:
@@ -284,7 +449,7 @@ class Model:
             seq += [index.setdefault(w, len(index) + 2) for w in ws]
             seq.append(1)
         h = np.fromiter((1, 2, *(hashes[w] for w in index)), dtype=np.uint64, count=len(index) + 2)
-        tok, before, once, twice, more = self.look_up("words", _WORD_TYPES, h, h * np.uint64(0x9E3779B97F4A7C15))
+        tok, before, once, twice, more = self.look_up(WORDS, word_key(h))
         d, low = c.discounts, c.low_discounts
         as_context = tok.copy()
         as_context[0], as_context[1] = c.texts, 0
@@ -298,7 +463,7 @@ class Model:
         both = (as_context[u] > 0) & (tok[w] > 0)
         n2 = np.zeros(len(w))
         keys = pair_hash(h[u[both]], h[w[both]])
-        (n2[both],) = self.look_up("pairs", _PAIR_TYPES, keys, keys)
+        (n2[both],) = self.look_up(PAIRS, keys)
         p2 = np.maximum(n2 - d[np.minimum(n2, 3).astype(int)], 0) / np.maximum(as_context[u], 1) + rest[u] * p1[w]
         base = np.log10((tok + 1) / (c.n + c.v + 1))
         sums = [np.add.reduceat(x, starts) for x in ((tok[w] > 0).astype(np.int64), base[w], np.log10(p2))]

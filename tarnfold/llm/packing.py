@@ -35,7 +35,7 @@ from tarnfold.llm.common import in_arrow, text_of, written
 
 SIZE = 2048
 END_ID = 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth int"
 _WIDE = re.compile("[^\x00-ɏ]")
 _LOADED: dict = {}
 
@@ -68,12 +68,12 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, path: str, ranks_path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
-    """The pieces of each document, with their ids if asked for."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    """The pieces of each document, with their ids if asked for; nth counts a task's pieces (modulo 2^31)."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, ranks_path)
+        encode, nth = encoder(path, ranks_path), 0
         for batch in batches:
             out: list[tuple] = []
             kept: list = []
@@ -81,10 +81,11 @@ def tokenised(docs: DataFrame, path: str, ranks_path: str | None = None, size: i
                 ids = np.array(encode(text.as_py()) + [END_ID], dtype="<u4")
                 for k, (start, n) in enumerate(cuts(len(ids), size)):
                     part = ids[start : start + n]
-                    out.append((doc_id, k, start, n, zlib.crc32(part.tobytes())))
+                    out.append((doc_id, k, start, n, zlib.crc32(part.tobytes()), nth))
+                    nth = (nth + 1) & 0x7FFFFFFF
                     if with_ids:
                         kept.append(part.astype(np.int32))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)]
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
@@ -163,7 +164,10 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> tuple[list[tuple
 
 
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
-    """pieces with sequence_id and offset. pieces must be stable when read again, as a table is."""
+    """pieces with sequence_id and offset. pieces must be stable when read again, as a table is.
+
+    Parts are dealt by ids, contents and nth, so neither rows without a doc_id nor copies of one document fill a part.
+    """
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     spark = pieces.sparkSession
     if not counts:
@@ -171,7 +175,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     runs, _ = pack_histogram(counts, size)
     most = max(256, sum(counts.values()) // 65536)
     parts = spark.createDataFrame([(n, -(-c // most)) for n, c in counts.items()], "length long, parts int")
-    placed = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("parts")).cast("int")).drop("parts")
+    placed = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "nth"), F.col("parts")).cast("int")).drop("parts")
     by_part = placed.groupBy("length", "part").count().collect()  # at most 65536 and a row for each length
     base, total = {}, {}
     for n, part, c in sorted(map(tuple, by_part)):
@@ -185,7 +189,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     run_keys = np.array([(r[0] << shift) + r[1] for r in runs], dtype=np.int64)
     run_from, run_first, run_per, run_offset = (np.array([r[i] for r in runs], dtype=np.int64) for i in (1, 2, 3, 4))
     tables = spark.sparkContext.broadcast((part_keys, part_base, run_keys, run_from, run_first, run_per, run_offset))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "nth")).cast("long") - 1)
     names = pieces.columns
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 

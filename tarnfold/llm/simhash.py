@@ -5,7 +5,8 @@ anything is compared. The 64 bits are grouped into partitions, correlated bits t
 t_i >= -1 with sum(t_i + 1) = radius + 1 are allocated by dynamic programming on estimated candidate
 counts: two fingerprints within the radius differ by at most t_i bits in some partition i. A fingerprint
 stands in the bucket of its own bits in each partition with t_i >= 0, and where t_i >= 1 also probes
-the buckets up to t_i bits away. A bucket's members are verified exactly, and a bucket returns a spanning
+the buckets up to t_i bits away. A bucket of more than LARGEST_BUCKET members is split by parts of the bits
+left, again by the pigeonhole principle. A bucket's members are verified exactly, and a bucket returns a spanning
 forest of its links, never its pairs; a search from each member over those not yet reached ends as soon
 as all are, so buckets of close copies cost little more than their size. Components follow from the forest.
 
@@ -14,21 +15,22 @@ finds every link.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked as any other. Repeated rows
 each return their row. The component of rows of which no doc_id is known is null. An empty table gives
-an empty result. Extra columns are ignored.
+an empty result. Extra columns of any name are kept unchanged by `keep_one` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, in_arrow, text_of, written
+from tarnfold.llm.common import drawn, fresh, in_arrow, own_columns, text_of, written
 from tarnfold.llm.components import components
 
 WORDS = 4
@@ -38,6 +40,9 @@ SAMPLE = 4096
 #: Fingerprints of more than this share of all rows are joined by broadcast: at most as many as the inverse.
 HOT_SHARE = 0.001
 FANOUT = 16
+#: Buckets of more fingerprints are split by further bits.
+LARGEST_BUCKET = 1 << 14
+SPLITS = 2
 _CHUNK = 1 << 16
 
 
@@ -136,14 +141,47 @@ def _signed(x: int) -> int:
 
 
 def buckets(fps: DataFrame, parts: list[tuple[int, int, list[int]]]) -> DataFrame:
-    """(part, key, fp): the buckets where each fingerprint stands or which it probes."""
-    rows = []
-    for i, (mask, threshold, bits) in enumerate(parts):
+    """(mask, key, fp): the buckets where each fingerprint stands or which it probes; mask: the bits that the key takes up."""
+
+    def standing(mask: int, threshold: int, bits: list[int]) -> Column:
         own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         flips = [_signed(sum(1 << b for b in c)) for t in range(threshold + 1) for c in combinations(bits, t)]
-        keys = F.array(own) if len(flips) == 1 else F.transform(F.lit(flips), lambda f, own=own: own.bitwiseXOR(f))
-        rows.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))))
-    return fps.select("fp", F.explode(F.flatten(F.array(*rows))).alias("b")).select("b.part", "b.key", "fp")
+        return F.transform(F.lit(flips), lambda f: F.struct(F.lit(_signed(mask)).cast("long").alias("mask"), own.bitwiseXOR(f).alias("key")))
+
+    return fps.select("fp", F.explode(F.flatten(F.array(*[standing(*p) for p in parts]))).alias("b")).select("b.mask", "b.key", "fp")
+
+
+def finer(mask: int, order: list[int], radius: int) -> list[int]:
+    """radius + 1 parts, as masks, of the bits that mask leaves; none if there are too few.
+
+    Two fingerprints within the radius agree on one of them at least. Every radius + 1st bit of the chain goes to one
+    part, so that each has some of every lot of correlated bits.
+    """
+    left = [b for b in order if not mask >> b & 1]
+    return [sum(1 << b for b in left[i :: radius + 1]) for i in range(radius + 1)] if len(left) > radius else []
+
+
+def of_bounded_size(spread: DataFrame, order: list[int], radius: int, most: int) -> DataFrame:
+    """The rows of buckets (mask, key, fp), where a bucket of more than `most` is replaced by those into which the bits left split it.
+
+    A split bucket's members go to radius + 1 finer ones, each by its own bits of one part; two linked ones meet in one of
+    them. At most SPLITS times over: what is large even then differs in few bits, is linked for the most part, and the
+    search for a forest takes such groups in one go.
+    """
+    done, todo = [], spread
+    for _ in range(SPLITS):
+        sizes = written(todo.groupBy("mask", "key").count().where(F.col("count") > most).select("mask", "key"), "buckets")
+        parts = {r.mask: finer(r.mask % (1 << 64), order, radius) for r in sizes.select("mask").distinct().collect()}  # as many as there are kinds of bucket
+        parts = {mask: p for mask, p in parts.items() if p}
+        if not parts:
+            break
+        split = sizes.where(F.col("mask").isin(list(parts)))
+        done.append(todo.join(split, ["mask", "key"], "left_anti"))
+        table = todo.sparkSession.createDataFrame([(mask, [_signed(x) for x in p]) for mask, p in parts.items()], "mask long, finer array<long>")
+        large = todo.join(split, ["mask", "key"], "left_semi").join(F.broadcast(table), "mask").select("mask", "key", "fp", F.explode("finer").alias("bits"))
+        # Two buckets of one hash would only share a comparison.
+        todo = written(large.select(F.col("mask").bitwiseOR(F.col("bits")).alias("mask"), F.xxhash64("mask", "key", "bits", F.col("fp").bitwiseAND(F.col("bits"))).alias("key"), "fp").distinct(), "buckets")
+    return reduce(DataFrame.unionByName, done, todo)
 
 
 def spanning_forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -168,8 +206,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = fps.count()
     sample = np.array([r[0] for r in fps.where(drawn(SAMPLE / max(n, 1), "fp")).collect()], dtype=np.int64).view(np.uint64)
     parts = plan(sample, n, radius)
-    spread = buckets(fps, parts)
-    spread = spread.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+    spread = of_bounded_size(buckets(fps, parts), _order_bits(sample) if len(sample) > 1 else list(range(64)), radius, LARGEST_BUCKET)
+    spread = spread.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 3), dtype=np.int64)
@@ -228,12 +266,13 @@ def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; other columns as they are."""
-    keep = near_duplicates(docs, radius).where("keeps").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
-    hashed = docs.withColumn("near_hash_", F.xxhash64(text_of()))
-    found = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("near_hash_") == F.col("keep_hash")), "left_semi")
-    one = Window.partitionBy("doc_id", "near_hash_").orderBy(F.xxhash64(*docs.columns))
-    return found.withColumn("near_rank_", F.row_number().over(one)).where("near_rank_ = 1").select(*docs.columns)
+    """docs with one row of each component, that of the smallest doc_id; columns as they are."""
+    own_hash, rank, keep_id, keep_hash = fresh(docs, "near_hash", "near_rank", "keep_id", "keep_hash")
+    keep = near_duplicates(docs, radius).where("keeps").select(F.col("doc_id").alias(keep_id), F.col("text_hash").alias(keep_hash)).distinct()
+    hashed = docs.withColumn(own_hash, F.xxhash64(text_of()))
+    found = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(own_hash) == F.col(keep_hash)), "left_semi")
+    one = Window.partitionBy("doc_id", own_hash).orderBy(F.xxhash64(*own_columns(docs)))
+    return found.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*own_columns(docs))
 
 
 def op10_simhash(docs: DataFrame) -> DataFrame:

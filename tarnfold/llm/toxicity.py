@@ -2,12 +2,14 @@
 
 The chain has two states, clean and toxic. A token's features are its word and those of its
 beginnings that tell toxic words; weights add up to its emission, transitions make spans hang together. The model is learnt on
-the driver from a bounded sample of labelled documents (SAMPLE of them, of at most SAMPLE_WORDS words);
-labelled tokens are those of toxic documents whose word or beginning is found in toxic documents and
+the driver from a bounded sample of labelled documents: about SAMPLE of them, drawn by hash, with at most about
+SAMPLE_WORDS words in each class. Where they have more, the longest give way: passages of PASSAGE words are drawn by hash out
+of the whole of each long text, so that texts of any length are learnt from. Labelled tokens are those of toxic documents whose word or beginning is found in toxic documents and
 hardly in clean ones. Workers tag every token of every whole text: forward and backward messages of all
 texts of a batch run as one chain, cut at the starts of texts, in blocks side by side, so a long text
-costs no more per token than short ones. A document's score is that of its most toxic span: the highest
-posterior of a token. Offending tokens come back as spans of code points.
+costs no more per token than short ones. A document's score puts the marginals of its different words together:
+with L = -sum log(1 - p), each word at its highest p, a logistic function of L and of the text's length, fitted to the
+sample's documents, so that one doubtful word flags no text and several of them do. Offending tokens come back as spans of code points.
 
 Defined results: a null text is empty; a text without words scores 0. Without toxic labels to learn from
 every score is 0. Labels of null or of unknown documents are ignored; a document labelled twice counts as
@@ -16,26 +18,34 @@ toxic if any label says so. Repeated rows get equal results. Extra columns are i
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import drawn, fold, in_arrow, n_words, text_of
+from tarnfold.llm.common import WORD, drawn, fold, in_arrow, let, n_words, text_of, written
 
 SAMPLE = 4000
-SAMPLE_WORDS = 800
+SAMPLE_WORDS = 300_000
+PASSAGE = 100
 #: In nats: chance gives one in about 10^7 features this.
 SURE = 16.0
+SEVERAL = 5
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS = 30
 LEAST_WEIGHT = 0.05
 THRESHOLD = 0.7
+#: Marginals below count as none; the most that a document without any sign is given, in log-odds.
+FAINT, NO_SIGN = 0.02, -3.0
+#: The most that L counts for, little more than one word with p = 0.997.
+CERTAIN = 6.0
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
+_EDGE = EDGE.encode()
 _TOKENS = 1 << 18  # tokens in one pass of forward and backward
 _KNOWN = 1 << 18  # words whose emissions a worker keeps
 
@@ -110,8 +120,10 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray, move:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], start: np.ndarray, move: np.ndarray):
-        self.weights, self.start, self.move = weights, start, move
+    """Weights of features, potentials of the chain, and (constant, of L, of log length) of a document's score."""
+
+    def __init__(self, weights: dict[str, float], start: np.ndarray, move: np.ndarray, document: tuple[float, float, float] = (NO_SIGN, 1.0, 0.0)):
+        self.weights, self.start, self.move, self.document = weights, start, move, document
 
 
 def markers(words: list[bytes], seq: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> set[str]:
@@ -120,7 +132,8 @@ def markers(words: list[bytes], seq: np.ndarray, first: np.ndarray, toxic: np.nd
     words: the different words; seq: each token's word; first: True at the first token of each text;
     toxic: of each token's text. A word counts by its different places (between its two neighbours), so
     that copies of a document count about once; a beginning counts by its different words, so that one
-    word does not make its beginnings suspect. Chance: a likelihood ratio of the feature's two rates
+    word does not make its beginnings suspect. Beginnings of SEVERAL different words are also held against
+    clean documents by their places, ten times as frequent. Chance: a likelihood ratio of the feature's two rates
     against one common rate, over SURE; and three counts at least.
     """
     none = np.int64(len(words))
@@ -137,18 +150,66 @@ def markers(words: list[bytes], seq: np.ndarray, first: np.ndarray, toxic: np.nd
             tokens[y][features(words[i])[0]] += int(counts[i])
         for name in tokens[y]:
             types[y].update(features(name[1:].encode())[1:])
+    several = {f for f, n in types[1].items() if n >= SEVERAL}
+    begun: tuple[Counter, Counter] = (Counter(), Counter())
+    for y in (0, 1):
+        for name, n in tokens[y].items():
+            for f in features(name[1:].encode())[1:]:
+                if f in several:
+                    begun[y][f] += n
     found = set()
-    for counts in (tokens, types):
-        n0, n1 = max(1, counts[0].total()), max(1, counts[1].total())
+    places = (tokens[0].total(), tokens[1].total())
+    for counts, total, times in ((tokens, places, 20), (types, (types[0].total(), types[1].total()), 20), (begun, places, 10)):
+        n0, n1 = max(1, total[0]), max(1, total[1])
         for f, c1 in counts[1].items():
             c0 = counts[0][f]
-            if c1 >= 3 and c1 / n1 > 20 * c0 / n0:
+            if c1 >= 3 and c1 / n1 > times * c0 / n0:
                 both = (c0 + c1) / (n0 + n1)
                 if c1 * np.log(c1 / n1 / both) + (c0 * np.log(c0 / n0 / both) if c0 else 0.0) > SURE:
                     found.add(f)
     return found
 
 
+def signs(text: str, p: np.ndarray) -> dict[bytes, float]:
+    """The highest marginal of each different word with a marginal over FAINT."""
+    best: dict[bytes, float] = {}
+    at = np.flatnonzero(p > FAINT)
+    if len(at):
+        words = text.encode("utf-8", "replace").lower().split()
+        for i in at.tolist():
+            w = words[i].strip(_EDGE)
+            best[w] = max(best.get(w, 0.0), float(p[i]))
+    return best
+
+
+def together(best: dict[bytes, float]) -> float:
+    """L, at most that of one word that is certain: more words than that say no more."""
+    return min(CERTAIN, float(-np.log1p(-np.minimum(list(best.values()), 0.9999)).sum())) if best else 0.0
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
+    """(constant, weights) of a logistic regression, by Newton's method."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), x.T @ (y - p) - penalty * w)
+    return w
+
+
+def with_document_score(model: Model, texts: list[str], toxic: list[int], of: list[int], lengths: list[int]) -> Model:
+    """model, its document score fitted: of tells which document each text is a part of, lengths each document's words."""
+    best: list[dict[bytes, float]] = [{} for _ in lengths]
+    y = np.zeros(len(lengths))
+    for text, label, doc, p in zip(texts, toxic, of, Tagger(model).tag(texts)):
+        y[doc] = label
+        for w, x in signs(text, p).items():
+            best[doc][w] = max(best[doc].get(w, 0.0), x)
+    a, b, c = logistic(np.column_stack([list(map(together, best)), np.log1p(lengths)]), y)
+    # Neither the share of toxic labels nor a text's length may flag what shows no sign.
+    return Model(model.weights, model.start, model.move, (min(a, NO_SIGN), max(b, 0.0), min(c, 0.0)))
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Model | None:
     """Maximum likelihood with an L2 penalty, by RProp; None without toxic texts or tokens."""
     ids: dict[bytes, int] = {}
@@ -210,6 +271,11 @@ class Tagger:
             e = self.known[word] = sum(map(self.weight, features(word)))
         return e
 
+    def score(self, text: str, p: np.ndarray) -> float:
+        """The document's score from its tokens' marginals; 0 without tokens."""
+        a, b, c = self.model.document
+        return 1 / (1 + math.exp(-min(max(a + b * together(signs(text, p)) + c * math.log1p(len(p)), -30.0), 30.0))) if len(p) else 0.0
+
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """P(toxic) of each token of each text."""
         out: list[np.ndarray] = []
@@ -253,23 +319,58 @@ def spans_of(text: str, p: np.ndarray, at_least: float = 0.5) -> list[tuple[int,
     return spans
 
 
+def most_words(lengths: list[int], budget: int) -> float:
+    """The words that each text may give at most for all to give `budget` together; infinity if they have no more."""
+    left, lengths = budget, sorted(lengths)
+    for i, n in enumerate(lengths):
+        level = left / (len(lengths) - i)
+        if n > level:
+            return level
+        left -= n
+    return float("inf")
+
+
+def passages(text: Column, share: Column) -> Column:
+    """The passages of PASSAGE words that a hash of place and contents draws, `share` of them, in order."""
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+    cut = lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / PASSAGE).cast("int")), lambda i: F.array_join(F.slice(ws, i * PASSAGE + 1, PASSAGE), " "))
+    return let(words, lambda ws: F.filter(cut(ws), lambda p, i: drawn(share, p, i)))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, from labelled rows of folds 0 and 2 of 3: at most SAMPLE, by hash, half of them toxic.
+    """The model, from labelled rows of folds 0 and 2 of 3: at most about SAMPLE, by hash, half of them toxic.
 
-    The ids are drawn from the labels alone, twice as many as are used, so that neither texts are shuffled
-    nor more than a bounded number of them reaches the driver.
+    The ids are drawn from the labels alone, so that texts are not shuffled; different texts count once, and of one id's
+    texts too only about a bounded number is drawn. What reaches the driver is bounded by SAMPLE and SAMPLE_WORDS.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("long").alias("tox_id")).agg(F.max(F.col("toxic") > 0).cast("int").alias("tox_label"))
+    by_label = lambda share: F.when(F.col("tox_label") == 1, share(1)).otherwise(share(0))
     many = dict(map(tuple, marks.groupBy("tox_label").count().collect()))
-    share = lambda y: min(1.0, SAMPLE / many.get(y, 1))
-    picked = marks.where(drawn(F.when(F.col("tox_label") == 1, share(1)).otherwise(share(0)), "tox_id"))  # about 2 * SAMPLE rows
+    picked = marks.where(drawn(by_label(lambda y: min(1.0, SAMPLE / many.get(y, 1))), "tox_id"))  # about 2 * SAMPLE rows
     d = docs.select(F.col("doc_id").cast("long").alias("tox_id"), text_of().alias("tox_text"))
-    rows = d.join(F.broadcast(picked), "tox_id").where(n_words(F.col("tox_text")).between(1, SAMPLE_WORDS)).select(F.xxhash64("tox_id").alias("h"), "tox_id", "tox_text", "tox_label").collect()
-    texts: dict[str, int] = {}  # copies count once
-    for y in (0, 1):
-        own = sorted({r.tox_text: tuple(r) for r in rows if r.tox_label == y}.values())
-        texts |= {r[2]: y for r in own[: SAMPLE // 2]}
-    return fit(list(texts), list(texts.values()))
+    words = n_words(F.col("tox_text"))
+    labelled = d.join(F.broadcast(picked), "tox_id").select(F.xxhash64("tox_text").alias("h"), "tox_text", "tox_label", words.alias("n")).where("n > 0")
+    labelled = written(labelled, "labelled")
+    # A text counts once, as toxic if any of its rows is; half of SAMPLE in each class, by hash.
+    texts = written(labelled.groupBy("h").agg(F.max("tox_label").alias("tox_label"), F.max("n").alias("n")), "labelled")
+    found = dict(map(tuple, texts.groupBy("tox_label").count().collect()))
+    used = texts.where(drawn(by_label(lambda y: min(1.0, SAMPLE / 2 / found.get(y, 1))), "h", F.lit("text")))
+    lengths: dict[int, list[int]] = {0: [], 1: []}
+    for y, n in used.select("tox_label", "n").collect():  # about SAMPLE rows
+        lengths[y].append(n)
+    most = by_label(lambda y: most_words(lengths[y], SAMPLE_WORDS))
+    chosen = labelled.select("h", "tox_text").join(F.broadcast(used), "h").groupBy("h", "tox_label", "n").agg(F.min("tox_text").alias("tox_text"))
+    whole = chosen.where(F.col("n") <= most).select("h", "n", "tox_label", F.array("tox_text").alias("parts"))
+    cut = chosen.where(F.col("n") > most).select("h", "n", "tox_label", passages(F.col("tox_text"), most / F.col("n")).alias("parts"))
+    rows = whole.unionByName(cut).select("h", "n", "tox_label", F.posexplode("parts").alias("at", "part")).collect()  # about 2 * SAMPLE_WORDS words
+    rows.sort(key=lambda r: (r.h, r.at))
+    parts, marked = [r.part for r in rows], [r.tox_label for r in rows]
+    model = fit(parts, marked)
+    if model is None:
+        return None
+    docs_at = {h: i for i, h in enumerate(dict.fromkeys(r.h for r in rows))}
+    lengths_of = {r.h: r.n for r in rows}
+    return with_document_score(model, parts, marked, [docs_at[r.h] for r in rows], [lengths_of[h] for h in docs_at])
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,7 +383,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
         for b in batches:
             texts = b.column(2).to_pylist()
             ps = tagger.tag(texts) if tagger else [np.zeros(0)] * len(texts)
-            best = np.array([p.max() if len(p) else 0.0 for p in ps], dtype=float)
+            best = np.array([tagger.score(t, p) if tagger else 0.0 for t, p in zip(texts, ps)], dtype=float)
             spans = [[{"start": s, "end": e} for s, e in spans_of(t, p)] for t, p in zip(texts, ps)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best), pa.array((best >= threshold).astype(np.int32)), pa.array(spans, spans_type)], ["doc_id", "text_hash", "score", "predicted", "spans"])
 
@@ -302,8 +403,8 @@ def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOL
         tagger = Tagger(shared.value) if shared.value else None
         for b in batches:
             if tagger and b.num_rows:
-                ps = tagger.tag([t or "" for t in b.column(at).to_pylist()])
-                b = b.filter(pa.array([not len(p) or p.max() < threshold for p in ps]))
+                texts = [t or "" for t in b.column(at).to_pylist()]
+                b = b.filter(pa.array([tagger.score(t, p) < threshold for t, p in zip(texts, tagger.tag(texts))]))
             yield b
 
     return in_arrow(docs, run, docs.schema)

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tarnfold.llm import linededup
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,7 +28,9 @@ def test_query_equals_brute_force(odd_docs, odd_rows):
     assert got == brute([r[:2] for r in odd_rows])
 
 
-def test_hot_line_in_every_document(spark):
+@pytest.mark.parametrize("least", [1000, 50, 0])
+def test_hot_line_in_every_document(spark, monkeypatch, least):
+    monkeypatch.setattr(linededup, "HOT_LEAST", least)
     rows = [(i, f"the very common line of all\nown line number {i % 50} is shared by some\n\n{'Tail of text, twenty+' if i % 2 else 'x'}\nthe very COMMON line of all") for i in range(400)]
     got = linededup.op8_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)

@@ -70,12 +70,44 @@ def test_many_shards_and_flushes(spark, monkeypatch):
     rnd = random.Random(3)
     rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.randint(0, 80)))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    monkeypatch.setattr(ngram_lm, "CELL_BYTES", 512)
     model = check(ngram_lm.op7_lm_scoring(docs).collect(), rows)
     vocabulary = [*model.c, "<unknown>"]
     for u in ("<s>", b"w1", b"w3", "never seen"):
         assert sum(model.p(u, w) for w in vocabulary) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("fanout", [2, 4, 12])
+def test_cells_in_one_step_and_in_two(spark, odd_docs, odd_rows, monkeypatch, fanout):
+    monkeypatch.setattr(ngram_lm, "CELL_BYTES", 1 << 11)
+    monkeypatch.setattr(ngram_lm, "FANOUT_BITS", fanout)
+    counted = ngram_lm.count(odd_docs)
+    assert counted.bits["pairs"] > 4 and len([k for k in counted.manifest if k[0] == "pairs"]) > 4
+    check(ngram_lm.op7_lm_scoring(odd_docs).collect(), [r[:2] for r in odd_rows])
+
+
+def test_frequent_pairs_are_counted_exactly(spark, tmp_path):
+    rows = [(i, "a b " * n) for i, n in enumerate((1, 200, 254, 255, 256, 300, 70_000))] + [(10 + i, "c d " * 254) for i in range(2)] + [(20, "e f " * 255)]
+    check(ngram_lm.op7_lm_scoring(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_a_missing_or_short_file_is_an_error(spark, odd_docs, tmp_path):
+    counted = ngram_lm.count(odd_docs, f"file://{tmp_path}/model")
+    whole = ngram_lm.score(odd_docs, counted).collect()
+    assert whole and sorted(f"{k}-{s}" for k, s in counted.manifest) == sorted(p.name for p in (tmp_path / "model").iterdir())
+    for kind, shard in list(counted.manifest):
+        path = tmp_path / "model" / f"{kind}-{shard}"
+        data = path.read_bytes()
+        path.write_bytes(data[:-1])
+        with pytest.raises(Exception, match="mounted on all workers"):
+            ngram_lm.score(odd_docs, counted).collect()
+        path.unlink()
+        with pytest.raises(Exception, match="mounted on all workers"):
+            ngram_lm.score(odd_docs, counted).collect()
+        path.write_bytes(data)
+    assert ngram_lm.score(odd_docs, counted).collect() == whole
+
+
 def test_empty_table_and_nothing_to_learn_from(spark, no_docs):
     assert ngram_lm.op7_lm_scoring(no_docs).collect() == []
     i = next(i for i in range(50) if fold(i, 7) == 2)

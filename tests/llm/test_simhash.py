@@ -96,6 +96,30 @@ def test_any_plan_finds_every_link(spark, monkeypatch):
         assert groups(linked(spark, fps)) == want
 
 
+def test_buckets_stand_and_probe_by_their_own_bits(spark):
+    rnd = random.Random(11)
+    fps = [rnd.getrandbits(64) for _ in range(40)]
+    parts = [(0xFF, 1, list(range(8))), (0xFFFF << 48, 0, list(range(48, 64)))]
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    got = {tuple(x % (1 << 64) for x in r) for r in simhash.buckets(df, parts).collect()}
+    assert got == {(m, f & m ^ flip, f) for f in fps for m, t, bits in parts for flip in [0, *[1 << b for b in bits if t]]}
+
+
+def test_large_buckets_are_split_and_lose_no_link(spark, monkeypatch):
+    rnd = random.Random(12)
+    low = [rnd.getrandbits(20) for _ in range(150)]  # 44 common bits: all in the same buckets of three parts
+    fps = clustered(rnd, 12, 12, 4) | set(low) | {x ^ 1 << rnd.randrange(64) for x in low} | {0, (1 << 64) - 1}
+    want = groups(brute_components(fps))
+    for most in (40,):
+        monkeypatch.setattr(simhash, "LARGEST_BUCKET", most)
+        assert groups(linked(spark, fps)) == want
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    parts = [(0xFFFFF << 44, 1, list(range(44, 64))), (0xFFFFF << 24, 0, list(range(24, 44))), (0xFFFFFF, 1, list(range(24)))]
+    sizes = simhash.of_bounded_size(simhash.buckets(df, parts), list(range(64)), 4, 20).groupBy("mask", "key").count()
+    assert simhash.buckets(df, parts).groupBy("mask", "key").count().agg({"count": "max"}).first()[0] > 100
+    assert sizes.agg({"count": "max"}).first()[0] < 80
+
+
 def test_plans_allocate_all_shares():
     rnd = np.random.default_rng(1)
     sample = rnd.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64)
