@@ -5,13 +5,12 @@ next one's docs. All but the last return docs' own columns; n_chars follows the
 Packing returns a row for each piece: where it stands in which sequence.
 
 Defined results: as the operators state; a stage on an empty table returns an empty one. Rows without a
-doc_id go through all stages. Extra columns are kept up to packing.
+doc_id go through all stages. Extra columns of any name are kept, unchanged, up to packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarnfold.llm import linededup, mixing, packing, simhash, toxicity
 from tarnfold.llm.common import own_dir, table
@@ -24,10 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many documents stay in one of them; texts and their lengths change, no row goes."""
-    out = linededup.drop_lines(docs)
-    text = F.when(F.col("ld_dropped") > 0, F.col("ld_kept")).otherwise(F.col("text"))
-    chars = {"n_chars": F.when(F.col("ld_dropped") > 0, F.length("ld_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns({"text": text, **chars}).select(*docs.columns)
+    return linededup.without_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
