@@ -18,7 +18,6 @@ from tarnfold.operators.match import hits, matches, ranked
 from tarnfold.plans.query_lang import Request, Term, compile_query
 from tarnfold.sources import feed
 from tarnfold.sources.addresses import Addresses
-from tarnfold.sources.html import _mapped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -521,14 +520,3 @@ def _sniff(s, d):
 @query("texts_joined", "SELECT doc_id, left(concat_ws(chr(10) || chr(10), nullif(title, ''), CASE WHEN doc_id % 2 = 0 THEN 'scanned' END), 50) AS out FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents)")
 def _texts(s, d):
     return c.documents(s, d).select("doc_id", text.joined_texts(50, F.col("title"), F.when(F.col("doc_id") % 2 == 0, "scanned").otherwise("")).alias("out"))
-
-
-@query("search_plans")
-def _plans(s, d):
-    """The plans of queries out of the documents' own words: every document's first line, strict and relaxed."""
-    def read(doc_id: int, title: str):
-        for relaxed in (False, True):
-            p = compile_query(title, relaxed)
-            yield {"doc_id": doc_id, "relaxed": p.relaxed, "expr": p.expr, "dropped": len(p.dropped)}
-
-    return _mapped(c.documents(s, d), ["doc_id", "title"], "doc_id long, relaxed boolean, expr string, dropped int", read)
