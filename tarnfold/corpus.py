@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.operators.index import Index, build
-from tarnfold.operators.search import Library
+from tarnfold.operators.search import Library, with_facts
 from tarnfold.plans.query_lang import FIELDS
+from tarnfold.scratch import own_dir
 from tarnfold.shipping import ship
 
 KINDS = ("agenda_item", "attachment", "minutes")
@@ -53,12 +54,16 @@ def seen_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 _built: dict[tuple[str, str], Index] = {}
 
 
+def write_index(spark: SparkSession, sf_dir: str, path: str) -> Index:
+    """Builds the corpus's index at path; it is the session's index of sf_dir from now on."""
+    facts = with_facts(documents(spark, sf_dir).select("doc_id", "meeting_id", "kind", *FIELDS), meetings(spark, sf_dir))
+    made = _built[spark.sparkContext.applicationId, sf_dir] = build(facts, path=path)
+    return made
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The corpus's index, built once a session and kept in memory or on disk, as Spark sees fit."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _built:
-        _built[key] = build(documents(spark, sf_dir).select("doc_id", *FIELDS)).cached()
-    return _built[key]
+    """The corpus's index, written once a session to the shared folder."""
+    return _built.get((spark.sparkContext.applicationId, sf_dir)) or write_index(spark, sf_dir, own_dir(spark, "index"))
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:

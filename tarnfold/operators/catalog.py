@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.markup import bar
@@ -38,18 +38,19 @@ def document_rows(meetings: DataFrame, texts: DataFrame, state: DataFrame, scrap
         F.concat(F.lit("i"), "it.itemId").alias("ref"), "meeting_id", F.lit("agenda_item").alias("kind"), *[c.alias(k) for k, c in shared.items()],
         F.coalesce(nonempty(F.col("it.title")), F.lit("Agenda item")).alias("title"), F.col("agenda_url").alias("source_url"), null("int").alias("pages"), null("string").alias("extract_method"),
         F.col("scraped_at").alias("first_seen"), F.col("at").alias("sort_order"), body_of(F.col("it.qualifier"), F.col("it.description")).alias("text"))
-    atts = items.select("meeting_id", "scraped_at", "at", *[c.alias(k) for k, c in shared.items()], F.posexplode("it.attachments").alias("nth", "a"))
-    found = atts.join(texts.select(F.col("key").alias("t_key"), F.col("text").alias("t_text")), F.col("a.fileId") == F.col("t_key"), "left").join(state, F.col("a.fileId") == F.col("file_id"), "left")
-    attachment = found.select(
-        F.concat(F.lit("f"), "a.fileId").alias("ref"), "meeting_id", F.lit("attachment").alias("kind"), *shared,
-        F.coalesce(nonempty(F.col("a.name")), F.lit("Attachment")).alias("title"), F.col("a.viewerUrl").alias("source_url"), "pages", F.col("method").alias("extract_method"),
-        F.coalesce("first_seen", "scraped_at").alias("first_seen"), (F.col("at") + 1 + F.col("nth")).alias("sort_order"), F.when(F.col("a.indexed"), normalize(F.col("t_text"))).otherwise("").alias("text"))
-    mins = m.where("minutes is not null").join(texts.select(F.col("key").alias("t_key"), F.col("text").alias("t_text")), F.col("minutes.textKey") == F.col("t_key"), "left").join(state, F.col("minutes.fileId") == F.col("file_id"), "left")
-    minutes = mins.select(
-        F.concat(F.lit("m"), "meeting_id").alias("ref"), "meeting_id", F.lit("minutes").alias("kind"), null("string").alias("item_id"), null("string").alias("item_label"), F.lit("Minutes").alias("item_title"),
-        F.concat(F.lit("Minutes - "), "m_title").alias("title"), null("string").alias("presenter"), F.coalesce(nonempty(F.col("minutes.url")), F.col("minutes_url")).alias("source_url"), "pages", F.col("method").alias("extract_method"),
-        F.coalesce("first_seen", "scraped_at").alias("first_seen"), F.lit(MINUTES_ORDER).alias("sort_order"), normalize(F.col("t_text")).alias("text"))
-    return agenda.select(*DOCUMENT).unionByName(attachment.select(*DOCUMENT)).unionByName(minutes.select(*DOCUMENT))
+    # Attachments and minutes look up their texts and states together; each text is cleaned once, before it is copied anywhere.
+    clean = texts.select(F.col("key").alias("t_key"), normalize(F.col("text")).alias("t_text"))
+    known = state.select(F.col("file_id").alias("s_key"), "pages", F.col("method").alias("extract_method"), F.col("first_seen").alias("s_seen"))
+    atts = items.select("meeting_id", "scraped_at", "at", *[c.alias(k) for k, c in shared.items()], F.posexplode("it.attachments").alias("nth", "a")).select(
+        F.concat(F.lit("f"), "a.fileId").alias("ref"), "meeting_id", F.lit("attachment").alias("kind"), *shared, F.coalesce(nonempty(F.col("a.name")), F.lit("Attachment")).alias("title"), F.col("a.viewerUrl").alias("source_url"),
+        "scraped_at", (F.col("at") + 1 + F.col("nth")).alias("sort_order"), F.when(F.col("a.indexed"), F.col("a.fileId")).alias("text_key"), F.col("a.fileId").alias("state_key"))
+    mins = m.where("minutes is not null").select(
+        F.concat(F.lit("m"), "meeting_id").alias("ref"), "meeting_id", F.lit("minutes").alias("kind"), null("string").alias("item_id"), null("string").alias("item_label"), F.lit("Minutes").alias("item_title"), null("string").alias("presenter"),
+        F.concat(F.lit("Minutes - "), "m_title").alias("title"), F.coalesce(nonempty(F.col("minutes.url")), F.col("minutes_url")).alias("source_url"),
+        "scraped_at", F.lit(MINUTES_ORDER).alias("sort_order"), F.col("minutes.textKey").alias("text_key"), F.col("minutes.fileId").alias("state_key"))
+    found = atts.unionByName(mins).join(clean, F.col("text_key") == F.col("t_key"), "left").join(known, F.col("state_key") == F.col("s_key"), "left")
+    files = found.withColumns({"first_seen": F.coalesce("s_seen", "scraped_at"), "text": F.coalesce("t_text", F.lit(""))})
+    return agenda.select(*DOCUMENT).unionByName(files.select(*DOCUMENT))
 
 
 def unique_refs(documents: DataFrame) -> DataFrame:
@@ -134,6 +135,26 @@ def settled(date: Column, today: Column, days: int = 120) -> Column:
     return date < F.date_format(F.date_sub(today, days), "yyyy-MM-dd")
 
 
+def months_ago(today: Column, months: int) -> Column:
+    """The bound of a window of the last months, as a date's text; a day that a month lacks is its last."""
+    return F.date_format(F.add_months(today, -months), "yyyy-MM-dd")
+
+
+def item_totals(meetings: DataFrame) -> DataFrame:
+    """One row: how many items and attachments nested records have in all."""
+    n = F.aggregate("items", F.lit(0).cast("long"), lambda s, it: s + F.coalesce(F.size(it["attachments"]), F.lit(0)))
+    return meetings.agg(F.coalesce(F.sum(F.coalesce(F.size("items"), F.lit(0))), F.lit(0)).alias("items"), F.coalesce(F.sum(n), F.lit(0)).alias("attachments"))
+
+
+def report(documents: DataFrame, meetings: DataFrame) -> str:
+    """Statistics of a build as lines of text: totals, kinds, years."""
+    t = totals(meetings).first()
+    lines = [f"Meetings    {t.meetings:,} ({t.indexed:,} with documents, {t.cancelled:,} cancelled), {t.first_date or '-'} to {t.last_date or '-'}"]
+    lines += [f"{r.kind:<12}{r.n:>10,}  {r.with_text:>10,} with text  {r.chars or 0:>14,} characters" for r in stats_by_kind(documents).collect()]
+    lines += [f"{r.year}  {r.n:>6,}  {r.bar}" for r in meetings_per_year(meetings).collect()]
+    return "\n".join(lines) + "\n"
+
+
 def mean_attachments(meetings: DataFrame, default: float = DEFAULT_ATTACHMENTS) -> DataFrame:
     """One row: the mean number of attachments of meetings that have items; default if there are none."""
     n = F.aggregate("items", F.lit(0), lambda s, it: s + F.coalesce(F.size(it["attachments"]), F.lit(0)))
@@ -146,8 +167,3 @@ def run_cost(meetings: DataFrame, per_meeting: Column, delay_ms: int) -> DataFra
     a = a.withColumn("requests", (F.col("meetings") + F.col("with_minutes") + F.floor(F.col("new_with_documents") * F.col("per_meeting") + 0.5)).cast("long"))
     a = a.withColumn("seconds", F.col("requests") * delay_ms / 1000.0)
     return a.withColumns({"hours": F.floor(F.col("seconds") / 3600).cast("long"), "minutes": F.floor((F.col("seconds") % 3600) / 60 + 0.5).cast("long")})
-
-
-def with_doc_order(documents: DataFrame) -> DataFrame:
-    """documents with id from 1, newest meeting first, then agenda order; for display only, as it moves between builds."""
-    return documents.withColumn("id", F.row_number().over(Window.orderBy(F.col("date").desc_nulls_last(), "meeting_id", "sort_order")))

@@ -28,6 +28,11 @@ def save(refs: Column) -> Column:
     return F.to_json(clean(refs))
 
 
+def cleared(refs: Column) -> Column:
+    """No refs, whatever there was."""
+    return F.slice(clean(refs), 1, 0)
+
+
 def toggle(refs: Column, ref: Column) -> Column:
     """struct(stars, starred, full): ref taken out if it is in, else put at the end, unless the collection is full."""
     stars = clean(refs)
@@ -63,8 +68,8 @@ def decode(shared: Column) -> Column:
 
 
 def documents_of(refs: DataFrame, documents: DataFrame, meetings: DataFrame) -> DataFrame:
-    """The starred documents that there are, newest meeting first. refs: one column ref, at most MOST rows."""
-    picked = documents.join(F.broadcast(refs.select("ref").distinct().limit(MOST)), "ref", "left_semi")
+    """The starred documents that there are, newest meeting first. refs: one column ref; all of them count (a collection's cap is `clean`'s)."""
+    picked = documents.join(refs.select("ref").distinct(), "ref", "left_semi")
     return picked.join(meetings, "meeting_id").orderBy(F.col("date").desc_nulls_last(), "sort_order", "ref")
 
 

@@ -1,4 +1,8 @@
-"""A search from the box to the page: plan, match, relax, filter, order, limit, and only then texts and snippets."""
+"""A search from the box to the page: plan, match, relax, filter, order, limit, and only then texts and snippets.
+
+All but the texts comes from the index: `search` aggregates the postings of its terms once, keeps that for as long as it
+takes to count, to decide whether to relax and to rank, and reads documents and meetings for the rows of the page alone.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.operators.index import Index
-from tarnfold.operators.match import matches, ranked
+from tarnfold.operators.match import condition, document_counts, ranked, weighted, with_rank
 from tarnfold.operators.snippet import with_snippets
 from tarnfold.plans.query_lang import PAGE, RELAX_BELOW, Plan, Request, can_relax, compile_query, explain
 
@@ -19,13 +23,21 @@ MEETING_COLUMNS = ("date", "meeting_name", "meeting_title", "meeting_type", "age
 
 @dataclass
 class Library:
-    """What is searched: documents (doc_id, meeting_id, kind, the four fields ..), meetings (meeting_id, date, year ..), their index."""
+    """What is searched: documents (doc_id, meeting_id, kind, the four fields ..), meetings (meeting_id, date, year ..), and the index of with_facts(documents, meetings)."""
 
     documents: DataFrame
     meetings: DataFrame
     index: Index
 
 
+def with_facts(documents: DataFrame, meetings: DataFrame) -> DataFrame:
+    """documents with their meeting's date and year, for the index; a document without a known meeting has a null meeting_id and no results."""
+    m = meetings.select(F.col("meeting_id").alias("fact_id"), F.col("date").alias("fact_date"), F.col("year").alias("fact_year"))
+    kept = [c for c in documents.columns if c not in ("meeting_id", "date", "year")]
+    joined = documents.join(m, F.col("meeting_id") == F.col("fact_id"), "left")
+    return joined.select(*kept, F.col("fact_id").alias("meeting_id"), F.col("fact_date").alias("date"), F.col("fact_year").alias("year"))
+
+
 def filters(year: int | None = None, kind: str | None = None) -> Column:
     wanted = F.lit(True)
     if year is not None:
@@ -35,11 +47,11 @@ def filters(year: int | None = None, kind: str | None = None) -> Column:
     return wanted
 
 
-def _placed(found: DataFrame, library: Library, request: Request) -> DataFrame:
-    """found with what filters and orders need, and nothing wider."""
-    d = library.documents.select("doc_id", "meeting_id", "kind")
-    m = library.meetings.select("meeting_id", "date", "year")
-    return found.join(d, "doc_id").join(m, "meeting_id").where(filters(request.year, request.kind))
+def _placed(found: DataFrame, request: Request) -> DataFrame:
+    return found.where(F.col("meeting_id").isNotNull() & filters(request.year, request.kind))
+
+
+RESULT = ("doc_id", "meeting_id", "kind", "date", "year", "rank")
 
 
 def order_of(sort: str) -> list[Column]:
@@ -50,24 +62,27 @@ def order_of(sort: str) -> list[Column]:
 
 def results(library: Library, plan: Plan, request: Request = Request()) -> DataFrame:
     """All results: (doc_id, meeting_id, kind, date, year, rank), not ordered."""
-    return _placed(ranked(library.index, plan).withColumn("rank", F.round("rank", 9)), library, request)
+    return _placed(ranked(library.index, plan).withColumn("rank", F.round("rank", 9)), request).select(*RESULT)
 
 
 def count_matches(library: Library, plan: Plan, request: Request = Request()) -> DataFrame:
     """One row: n, with the filters, without a limit."""
-    return _placed(matches(library.index, plan).select("doc_id"), library, request).agg(F.count("*").alias("n"))
+    return _placed(weighted(library.index, plan).where(condition(plan)), request).agg(F.count("*").alias("n"))
+
+
+def _chosen(rows: DataFrame, request: Request) -> tuple[Plan, int, list[int]]:
+    """The plan, how many it finds, and the document counts of its terms, from one aggregate of rows (`weighted`)."""
+    strict, relaxed = compile_query(request.q), compile_query(request.q, relaxed=True)
+    there = F.col("meeting_id").isNotNull() & filters(request.year, request.kind)
+    n, n_relaxed, df = rows.agg(F.count_if(condition(strict) & there), F.count_if(condition(relaxed) & there), document_counts(strict)).first()
+    counts = list(df)[: len(strict.used)]
+    return (relaxed, n_relaxed, counts) if n < RELAX_BELOW and can_relax(request.q) else (strict, n, counts)
 
 
 def choose_plan(library: Library, request: Request) -> tuple[Plan, int]:
     """The strict plan and how many it finds, or the relaxed one where that is fewer than RELAX_BELOW."""
     plan = compile_query(request.q)
-    if not plan.expr:
-        return plan, 0
-    n = count_matches(library, plan, request).first().n
-    if n < RELAX_BELOW and can_relax(request.q):
-        plan = compile_query(request.q, relaxed=True)
-        n = count_matches(library, plan, request).first().n
-    return plan, n
+    return _chosen(weighted(library.index, plan), request)[:2] if plan.expr else (plan, 0)
 
 
 def page(library: Library, plan: Plan, request: Request = Request(), offset: int = 0, limit: int = PAGE) -> DataFrame:
@@ -75,23 +90,42 @@ def page(library: Library, plan: Plan, request: Request = Request(), offset: int
     return results(library, plan, request).orderBy(*order_of(request.sort)).offset(offset).limit(limit)
 
 
-def full_page(library: Library, plan: Plan, request: Request = Request(), offset: int = 0, limit: int = PAGE) -> DataFrame:
-    """A page with its documents' and meetings' columns and snippets, made for the page's rows alone."""
-    top = page(library, plan, request, offset, limit).select("doc_id", "meeting_id", "rank")
+def _wide(library: Library, top: DataFrame, plan: Plan, request: Request, ids: dict[str, list] | None = None) -> DataFrame:
+    """top with its documents' and meetings' columns and snippets. ids: the values of doc_id and meeting_id, for the scans to skip by."""
     d = library.documents.select(*[c for c in DOCUMENT_COLUMNS if c in library.documents.columns], "text")
     m = library.meetings.select("meeting_id", *[c for c in MEETING_COLUMNS if c in library.meetings.columns])
-    wide = top.join(d, "doc_id").join(m, "meeting_id")
+    if ids is not None:
+        d, m = d.where(F.col("doc_id").isin(ids["doc_id"])), m.where(F.col("meeting_id").isin(ids["meeting_id"]))
+    wide = F.broadcast(top.select("doc_id", "meeting_id", "rank")).join(d, "doc_id").join(m, "meeting_id")
     return with_snippets(wide, list(plan.used)).drop("text").orderBy(*order_of(request.sort))
 
 
+def full_page(library: Library, plan: Plan, request: Request = Request(), offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page with its documents' and meetings' columns and snippets, made for the page's rows alone."""
+    return _wide(library, page(library, plan, request, offset, limit), plan, request)
+
+
 def search(library: Library, request: Request, offset: int = 0, plan: Plan | None = None) -> tuple[DataFrame | None, dict]:
     """A page and what is to be told of it: total, whether there is more, the explanation and the plan.
 
     Further pages pass the first page's plan, so a relaxed search stays that search.
     """
-    if plan is None:
-        plan, n = choose_plan(library, request)
-    else:
-        n = count_matches(library, plan, request).first().n if plan.expr else 0
+    given = plan
+    plan = given or compile_query(request.q)
+    if not plan.expr:
+        return None, {"total": 0, "more": False, "plan": plan, **explain(plan, 0)}
+    rows = weighted(library.index, plan).persist()
+    try:
+        if given is None:
+            plan, n, counts = _chosen(rows, request)
+        else:
+            n, df = rows.agg(F.count_if(condition(plan) & F.col("meeting_id").isNotNull() & filters(request.year, request.kind)), document_counts(plan)).first()
+            counts = list(df)[: len(plan.used)]
+        found = _placed(with_rank(rows.where(condition(plan)), library.index, plan, counts).withColumn("rank", F.round("rank", 9)), request).select(*RESULT)
+        ordered = found.orderBy(*order_of(request.sort)).offset(offset).limit(PAGE)
+        top = ordered.collect()  # a page
+    finally:
+        rows.unpersist()
     told = {"total": n, "more": offset + PAGE < n, "plan": plan, **explain(plan, n)}
-    return (full_page(library, plan, request, offset) if plan.expr else None), told
+    local = library.documents.sparkSession.createDataFrame(top, ordered.schema)
+    return _wide(library, local, plan, request, {k: [r[k] for r in top] for k in ("doc_id", "meeting_id")}), told

@@ -115,12 +115,10 @@ def _hits(s, d):
     return hits(c.index(s, d), [Term("of the", bare=False)]).select("doc_id", "field", "term_no", "n")
 
 
-@query("search_strict_or_relaxed", match_ctes([P("erblest"), P("whou")], joiner="OR") + "\nSELECT doc_id, rank FROM hit ORDER BY rank, doc_id LIMIT 25")
+@query("search_strict_or_relaxed", f"{match_ctes([P('erblest'), P('whou')], joiner='OR')}, {MEETINGS} SELECT doc_id, rank FROM hit JOIN mt ON mt.meeting_id = hit.doc_id ORDER BY rank, doc_id LIMIT 25")
 def _chosen(s, d):
     lib = c.library(s, d)
-    plan = compile_query("erblest whou")
-    if search.count_matches(lib, plan).first().n < search.RELAX_BELOW:
-        plan = compile_query("erblest whou", relaxed=True)
+    plan, _ = search.choose_plan(lib, Request("erblest whou"))
     return search.page(lib, plan).select("doc_id", "rank")
 
 
@@ -140,6 +138,20 @@ query("search_filtered_year_kind", _page_sql([P("reti", True)], "rank, hit.doc_i
 query("search_page_2", _page_sql([P("reti", True)], "rank, hit.doc_id", limit="LIMIT 25 OFFSET 25"))(lambda s, d: _page(s, d, Request("reti*"), 25))
 query("search_count", f"{match_ctes(OF_THE)}, {MEETINGS} SELECT count(*) AS n FROM hit JOIN mt ON mt.meeting_id = hit.doc_id WHERE mt.year = 1998")(lambda s, d: search.count_matches(c.library(s, d), compile_query('"of the"'), Request(year=1998)))
 query("search_full_page")(lambda s, d: search.full_page(c.library(s, d), compile_query("erblest", relaxed=True)))
+query("search_full_page_columns", f"{match_ctes([P('reti', True)])}, {MEETINGS}, {DOCS} SELECT hit.doc_id, ref, kind, title, item_title, presenter, date, meeting_name, meeting_type, rank FROM hit JOIN dc ON dc.doc_id = hit.doc_id JOIN mt ON mt.meeting_id = dc.meeting_id ORDER BY rank, hit.doc_id LIMIT 25")(
+    lambda s, d: search.full_page(c.library(s, d), compile_query("reti*")).select("doc_id", "ref", "kind", "title", "item_title", "presenter", "date", "meeting_name", "meeting_type", "rank"))
+
+#: What is typed, and the expression that it must become.
+TYPED = (
+    ("plum jam", '"plum" AND "jam"', False), ("plum jam", '"plum" OR "jam"', True), ('"cold frame" glass', '"cold frame" OR "glass"', True), ("oboe or cello -drum", '("oboe" OR "cello") NOT ("drum")', False),
+    ("oboe NOT and cello drum", '"oboe" AND "drum" NOT ("cello")', False), ("harp* title:solo", '"harp"* AND title:"solo"', False), ('Opus:"c d"*', '"Opus:c d"*', False), ("what is the tempo", '"tempo"', False), ("who they", '"who" AND "they"', False),
+    ("how?", '"how?"', False), ('-"only this"', None, False), ("", None, False), ('hum "la', '"hum" AND "la"', False), ("p q OR r", '"p" OR "q" OR "r"', False), ("-not oboe", '"oboe" NOT ("not")', False), ('oboe NOT "" cello', '"oboe" AND "cello"', False),
+)
+
+
+@query("query_language", "SELECT * FROM (VALUES " + ", ".join("({}, {}, {})".format("'" + raw.replace("'", "''") + "'", "NULL" if expr is None else f"'{expr}'", str(relaxed).lower()) for raw, expr, relaxed in TYPED) + ") v(raw, expr, relaxed)")
+def _language(s, d):
+    return s.createDataFrame([(raw, compile_query(raw, relaxed).expr, relaxed) for raw, _, relaxed in TYPED], "raw string, expr string, relaxed boolean")
 
 
 @query("highlight_html", f"SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), 'the', '<mark>the</mark>') AS html, contains(text, 'the') AS has_match FROM documents")
@@ -152,7 +164,17 @@ def _highlight(s, d):
 
 query("browse_meetings", f"WITH {MEETINGS} SELECT meeting_id, date, (SELECT count(*) FROM lineitem WHERE l_orderkey = mt.meeting_id) AS attachments FROM mt WHERE date IS NOT NULL ORDER BY date DESC, meeting_id LIMIT 400")(
     lambda s, d: catalog.browse(c.meetings(s, d), c.attachments(s, d)).select("meeting_id", "date", F.col("attachments").cast("long").alias("attachments")))
-query("meeting_documents", f"WITH {MEETINGS}, {DOCS} SELECT ref, kind, date, sort_order FROM dc JOIN mt USING (meeting_id) WHERE meeting_id = 7")(lambda s, d: catalog.meeting_documents(c.meetings(s, d), c.documents(s, d), 7).select("ref", "kind", "date", "sort_order"))
+query("meeting_documents", """WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey) AS nth FROM lineitem), m AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3)),
+u AS (SELECT o_orderkey, 'agenda_item' AS kind, 0 AS sort_order FROM orders UNION ALL SELECT o_orderkey, 'agenda_item', 1 FROM orders UNION ALL SELECT l_orderkey, 'attachment', (1 + nth)::INT FROM l UNION ALL SELECT o_orderkey, 'minutes', 10000 FROM orders WHERE o_orderkey % 3 = 0)
+SELECT u.o_orderkey::VARCHAR AS meeting_id, kind, year(o_orderdate)::INT AS year, sort_order, (row_number() OVER (ORDER BY sort_order))::INT AS place FROM u JOIN orders USING (o_orderkey) WHERE o_orderkey = (SELECT k FROM m)""")(lambda s, d: _one_meeting(s, d))
+
+
+def _one_meeting(s, d) -> DataFrame:
+    """The first meeting with minutes and more than three attachments: its documents in agenda order, numbered as they come."""
+    many = c.table(s, d, "lineitem").groupBy("l_orderkey").count().where("count > 3")
+    first = c.table(s, d, "orders").where("o_orderkey % 3 = 0").join(many, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").agg(F.min("o_orderkey")).first()[0]
+    rows = catalog.meeting_documents(catalog.meeting_rows(_nested(s, d)).select("meeting_id", "year"), _document_rows(s, d), str(first)).select("meeting_id", "kind", "year", "sort_order")
+    return rows.withColumn("place", (F.monotonically_increasing_id() + 1).cast("int"))
 query("documents_with_meetings", f"WITH {MEETINGS}, {DOCS} SELECT ref, kind, date, year::INT AS year, meeting_type FROM dc JOIN mt USING (meeting_id)")(lambda s, d: c.documents(s, d).join(c.meetings(s, d), "meeting_id").select("ref", "kind", "date", "year", "meeting_type"))
 query("coverage_by_year", f"WITH {MEETINGS} SELECT year::INT AS year, count(DISTINCT meeting_id) AS meetings, sum(CASE WHEN docs_indexed THEN 1 ELSE 0 END)::BIGINT AS with_documents FROM mt WHERE year IS NOT NULL GROUP BY year")(lambda s, d: catalog.coverage_by_year(c.meetings(s, d)))
 query("facet_years", f"WITH {MEETINGS} SELECT DISTINCT year::INT AS year FROM mt")(lambda s, d: catalog.facet_years(c.meetings(s, d)))
@@ -200,31 +222,35 @@ def _nested(s, d) -> DataFrame:
     """Orders as nested meeting records: two items, the lines of an order as attachments of the second, minutes for every third."""
     att = F.struct(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.unix_date(F.to_date("l_shipdate")).cast("string"), F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("fileId"), F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).otherwise("").alias("name"), F.lit("v").alias("viewerUrl"), (F.col("l_linenumber") < 4).alias("indexed"))
     lines = c.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(att)).alias("atts"))
-    item = lambda n, atts: F.struct(F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit(n)).alias("itemId"), F.lit("1." if n == "1" else "").alias("label"), (F.col("o_orderpriority") if n == "1" else F.lit("")).alias("title"), F.lit("5 minutes").alias("qualifier"), F.lit("").alias("presenter"), F.col("o_orderstatus").alias("description"), atts.alias("attachments"))
+    item = lambda n, atts: F.struct(F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit(n)).alias("itemId"), F.lit("1." if n == "1" else "").alias("label"), (F.col("o_orderpriority") if n == "1" else F.lit("")).alias("title"), F.lit("5 minutes").alias("qualifier"), (F.lit("") if n == "1" else F.concat(F.lit("P "), F.col("o_orderkey").cast("string"))).alias("presenter"), F.col("o_orderstatus").alias("description"), atts.alias("attachments"))
     none = F.array().cast("array<struct<fileId:string,name:string,viewerUrl:string,indexed:boolean>>")
     key = F.col("o_orderkey").cast("string")
     return c.table(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         key.alias("meetingId"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("7:00 PM").alias("time"), F.col("o_orderpriority").alias("title"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("meetingType"),
         F.when(F.col("o_orderkey") % 2 == 0, "committee").alias("body"), (F.col("o_orderstatus") == "F").alias("cancelled"), F.lit("").alias("location"), F.lit("").alias("notes"), F.lit("a").alias("agendaUrl"), F.lit("u").alias("minutesUrl"), F.lit("p").alias("packetUrl"),
         F.array(item("1", none), item("2", F.coalesce("atts", none))).alias("items"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.lit("").alias("url"), F.lit(None).cast("string").alias("fileId"), F.concat(F.lit("minutes-"), key).alias("textKey"))).alias("minutes"), (F.col("o_orderkey") % 2 == 1).alias("documentsIndexed"))
+        F.when(F.col("o_orderkey") % 3 == 0, F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("page of "), key)).otherwise("").alias("url"), F.lit(None).cast("string").alias("fileId"), F.concat(F.lit("minutes-"), key).alias("textKey"))).alias("minutes"), (F.col("o_orderkey") % 2 == 1).alias("documentsIndexed"))
 
 
 FILE = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || (l_shipdate::DATE - DATE '1970-01-01') || '-' || l_extendedprice::DECIMAL(20,2)"
 
 
-@query("documents_union", f"""WITH l AS (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY {FILE}) AS nth FROM lineitem), s AS (SELECT user_id, max(value) AS v FROM events GROUP BY user_id)
-SELECT 'i' || o_orderkey || '-1' AS ref, 'agenda_item' AS kind, o_orderpriority AS title, '1.' AS item_label, 0 AS sort_order, '5 minutes' || chr(10) || o_orderstatus AS text, NULL::VARCHAR AS extract_method FROM orders
-UNION ALL SELECT 'i' || o_orderkey || '-2', 'agenda_item', 'Agenda item', NULL, 1, '5 minutes' || chr(10) || o_orderstatus, NULL FROM orders
-UNION ALL SELECT 'f' || file, 'attachment', CASE WHEN l_linenumber > 1 THEN l_returnflag ELSE 'Attachment' END, NULL, (1 + nth)::INT, CASE WHEN l_linenumber < 4 THEN 'text of ' || file ELSE '' END, l_linestatus FROM l
-UNION ALL SELECT 'm' || o_orderkey, 'minutes', 'Minutes - ' || o_orderpriority, NULL, 10000, CASE WHEN o_orderkey % 2 = 0 THEN 'said ' || o_orderkey ELSE '' END, NULL FROM orders WHERE o_orderkey % 3 = 0""")
+@query("documents_union", f"""WITH l AS (SELECT *, {FILE} AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY {FILE}) AS nth FROM lineitem), o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey::VARCHAR AS meeting_id FROM orders)
+SELECT 'i' || o_orderkey || '-1' AS ref, meeting_id, 'agenda_item' AS kind, o_orderkey || '-1' AS item_id, o_orderpriority AS title, '1.' AS item_label, o_orderpriority AS item_title, NULL::VARCHAR AS presenter, 'a' AS source_url, NULL::INT AS pages, 0 AS sort_order, '5 minutes' || chr(10) || o_orderstatus AS text, NULL::VARCHAR AS extract_method, day AS seen FROM o
+UNION ALL SELECT 'i' || o_orderkey || '-2', meeting_id, 'agenda_item', o_orderkey || '-2', 'Agenda item', NULL, NULL, 'P ' || o_orderkey, 'a', NULL, 1, '5 minutes' || chr(10) || o_orderstatus, NULL, day FROM o
+UNION ALL SELECT 'f' || file, meeting_id, 'attachment', o_orderkey || '-2', CASE WHEN l_linenumber > 1 THEN l_returnflag ELSE 'Attachment' END, NULL, NULL, 'P ' || o_orderkey, 'v', 3, (1 + nth)::INT, CASE WHEN l_linenumber < 4 THEN 'text of ' || file ELSE '' END, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE day END FROM l JOIN o ON o_orderkey = l_orderkey
+UNION ALL SELECT 'm' || o_orderkey, meeting_id, 'minutes', NULL, 'Minutes - ' || o_orderpriority, NULL, 'Minutes', NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'page of ' || o_orderkey ELSE 'u' END, NULL, 10000, CASE WHEN o_orderkey % 2 = 0 THEN 'said ' || o_orderkey ELSE '' END, NULL, day FROM o WHERE o_orderkey % 3 = 0""")
 def _union(s, d):
+    return _document_rows(s, d).select("ref", "meeting_id", "kind", "item_id", "title", "item_label", "item_title", "presenter", "source_url", "pages", "sort_order", "text", "extract_method", F.date_format("first_seen", "yyyy-MM-dd").alias("seen"))
+
+
+def _document_rows(s, d) -> DataFrame:
     n = _nested(s, d)
-    files = c.table(s, d, "lineitem").select(F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.unix_date(F.to_date("l_shipdate")).cast("string"), F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("key"), "l_linestatus")
-    texts = files.select("key", F.concat(F.lit("text of  "), "key", F.lit(" ")).alias("text")).unionByName(c.table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("minutes-"), F.col("o_orderkey").cast("string")).alias("key"), F.concat(F.lit("said  "), F.col("o_orderkey").cast("string")).alias("text")))
-    state = files.select(F.col("key").alias("file_id"), F.lit(3).alias("pages"), F.col("l_linestatus").alias("method"), F.lit(None).cast("timestamp").alias("first_seen"))
+    files = c.spread(c.table(s, d, "lineitem")).select(F.concat_ws("-", *[F.col(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.unix_date(F.to_date("l_shipdate")).cast("string"), F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("key"), "l_linestatus", "l_linenumber", "l_shipdate")
+    texts = files.select("key", F.concat(F.lit("text of  "), "key", F.lit(" ")).alias("text")).unionByName(c.table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("minutes-"), F.col("o_orderkey").cast("string")).alias("key"), F.concat(F.lit("said  "), F.col("o_orderkey").cast("string")).alias("text")))
+    state = files.select(F.col("key").alias("file_id"), F.lit(3).alias("pages"), F.col("l_linestatus").alias("method"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("timestamp")).alias("first_seen"))
     scraped = c.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("meeting_id"), F.col("o_orderdate").cast("timestamp").alias("scraped_at"))
-    return catalog.document_rows(n, texts, state, scraped).select("ref", "kind", "title", "item_label", "sort_order", "text", "extract_method")
+    return catalog.document_rows(n, texts, state, scraped)
 
 
 query("meeting_rows", "SELECT o_orderkey::VARCHAR AS meeting_id, year(o_orderdate)::INT AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'committee' ELSE 'board' END AS body, o_orderstatus = 'F' AS cancelled, 2 AS item_count, o_orderkey % 2 = 1 AS docs_indexed FROM orders")(
@@ -234,11 +260,15 @@ query("mean_attachments", "SELECT (SELECT count(*) FROM lineitem WHERE l_orderke
 
 @query("dry_run_cost", """WITH a AS (SELECT count(*) AS meetings, count(*) FILTER (WHERE o_orderstatus = 'F') AS with_minutes, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS already_scraped,
  count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND strftime(o_orderdate, '%Y-%m-%d') >= '1999-01-01') AS new_with_documents FROM orders),
-r AS (SELECT *, meetings + with_minutes + floor(new_with_documents * 3.5::DOUBLE + 0.5)::BIGINT AS requests FROM a)
+r AS (SELECT *, meetings + with_minutes + floor(new_with_documents * ((SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))::DOUBLE / (SELECT count(*) FROM orders)) + 0.5)::BIGINT AS requests FROM a)
 SELECT *, requests * 1200 / 1000.0::DOUBLE AS seconds, floor(requests * 1.2::DOUBLE / 3600)::BIGINT AS hours, floor(((requests * 1200 / 1000.0::DOUBLE) % 3600) / 60 + 0.5)::BIGINT AS minutes FROM r""")
 def _cost(s, d):
     m = c.meetings(s, d).select(F.col("cancelled").alias("has_minutes"), (F.col("meeting_id") % 5 != 0).alias("is_new"), catalog.in_document_scope(F.col("date"), "1999-01-01").alias("in_scope"))
-    return catalog.run_cost(m, F.lit(3.5), 1200).drop("per_meeting")
+    return catalog.run_cost(m, catalog.mean_attachments(_nested(s, d)).scalar(), 1200).drop("per_meeting")
+
+
+query("item_totals", "SELECT (SELECT 2 * count(*) FROM orders)::BIGINT AS items, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))::BIGINT AS attachments")(lambda s, d: catalog.item_totals(_nested(s, d)))
+query("last_months", f"WITH {MEETINGS} SELECT meeting_id, date FROM mt WHERE date >= '1996-02-29'")(lambda s, d: c.meetings(s, d).where(F.col("date") >= catalog.months_ago(F.lit("1998-08-31").cast("date"), 30)).select("meeting_id", "date"))
 
 
 @query("scopes", f"WITH {MEETINGS} SELECT meeting_id, coalesce(date >= '1999-01-01', false) AS windowed, (date IS NULL OR date >= '1999-01-01') AS document_scope, date < '2000-09-02' AS is_settled FROM mt")
@@ -252,11 +282,13 @@ query("dedupe_first_wins", "SELECT event_id, user_id, event_type FROM events QUA
 
 # Collections -----------------------------------------------------------------------------------------------
 
-REFS = "rf AS (SELECT source, list(CASE doc_id % 3 WHEN 0 THEN 'i' WHEN 1 THEN 'f' ELSE 'm' END || doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 2 = 0) AS own, list(CASE doc_id % 5 WHEN 0 THEN 'x' ELSE CASE doc_id % 3 WHEN 0 THEN 'i' WHEN 1 THEN 'f' ELSE 'm' END END || doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 3 < 2) AS incoming FROM documents GROUP BY source)"
+#: Collections of at most a thousand documents of a source, so that a row is bounded.
+REFS = "rf AS (SELECT source || ':' || (doc_id // 1000) AS source, list(CASE doc_id % 3 WHEN 0 THEN 'i' WHEN 1 THEN 'f' ELSE 'm' END || doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 2 = 0) AS own, list(CASE doc_id % 5 WHEN 0 THEN 'x' ELSE CASE doc_id % 3 WHEN 0 THEN 'i' WHEN 1 THEN 'f' ELSE 'm' END END || doc_id ORDER BY doc_id) FILTER (WHERE doc_id % 3 < 2) AS incoming FROM documents GROUP BY ALL)"
 
 
 def _refs(s, d) -> DataFrame:
-    docs = c.table(s, d, "documents").select("source", "doc_id", F.element_at(F.array(*map(F.lit, "ifm")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("k"))
+    part = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    docs = c.table(s, d, "documents").select(part.alias("source"), "doc_id", F.element_at(F.array(*map(F.lit, "ifm")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("k"))
     listed = lambda ref, where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("doc_id", ref.alias("r"))))), lambda x: x["r"])
     i = F.col("doc_id").cast("string")
     return docs.groupBy("source").agg(listed(F.concat("k", i), F.col("doc_id") % 2 == 0).alias("own"), listed(F.concat(F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("k")), i), F.col("doc_id") % 3 < 2).alias("incoming"))
@@ -271,6 +303,9 @@ def _merge(s, d):
     return _refs(s, d).select("source", collections.merge(F.col("own"), F.col("incoming")).alias("m")).select("source", _joined(F.col("m.stars")).alias("stars"), "m.added")
 
 
+query("star_clear", f"WITH {REFS} SELECT source, '[]' AS saved FROM rf")(lambda s, d: _refs(s, d).select("source", collections.save(collections.cleared(F.col("own"))).alias("saved")))
+
+
 @query("star_toggle", f"WITH {REFS}, v AS (SELECT source, coalesce(own, [])[1:500] AS own, coalesce(incoming[1], '') AS r FROM rf) SELECT source, array_to_string(CASE WHEN NOT regexp_matches(r, '^[fim][0-9]+$') THEN own WHEN list_contains(own, r) THEN list_filter(own, lambda x: x <> r) WHEN len(own) < 500 THEN list_append(own, r) ELSE own END, ' ') AS stars, (regexp_matches(r, '^[fim][0-9]+$') AND NOT list_contains(own, r) AND len(own) < 500) AS starred FROM v")
 def _toggle(s, d):
     t = collections.toggle(F.col("own"), F.try_element_at("incoming", F.lit(1)))
@@ -441,7 +476,7 @@ def _sql_block_text() -> str:
     return _sql_normalize(t)
 
 
-query("html_to_text", f"SELECT page_id, {_sql_block_text()} AS out FROM pages")(lambda s, d: c.table(s, d, "pages").select("page_id", text.normalize(text.block_text(text.drop_chrome(F.col("html")))).alias("out")))
+query("html_to_text", f"SELECT page_id, {_sql_block_text()} AS out FROM pages")(lambda s, d: c.spread(c.table(s, d, "pages")).select("page_id", text.normalize(text.block_text(text.drop_chrome(F.col("html")))).alias("out")))
 
 
 @query("parse_title", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 > 0 THEN '7:05 PM' END AS time, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE 'Special gathering ' || o_orderpriority END AS name FROM orders")
@@ -499,9 +534,9 @@ def _links(s, d):
     return c.table(s, d, "orders").select("o_orderkey", F.array_join(markup.distinct_links(urls), " ").alias("links"))
 
 
-@query("tidy_terms", "SELECT doc_id, regexp_replace(split_part(text, ' ', 1) || '?!.', '[^\\p{L}\\p{N}*]+$', '') AS term FROM documents")
+@query("tidy_terms", "SELECT doc_id, regexp_replace(text || '?!.', '[^\\p{L}\\p{N}*]+$', '') AS term FROM documents")
 def _terms(s, d):
-    return c.table(s, d, "documents").select("doc_id", text.tidy_term(F.concat(F.substring_index("text", " ", 1), F.lit("?!."))).alias("term"))
+    return c.table(s, d, "documents").select("doc_id", text.tidy_term(F.concat("text", F.lit("?!."))).alias("term"))
 
 
 @query("page_chars", "SELECT doc_id, length(regexp_replace(text, '[' || chr(9) || chr(11) || chr(12) || chr(13) || ' ' || chr(10) || ']', '', 'g'))::INT AS chars, CASE WHEN doc_id % 50 < 40 THEN '1 3' ELSE '3' END AS empty FROM documents")

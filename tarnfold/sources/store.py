@@ -1,14 +1,14 @@
-"""Tables, text blobs, binaries and state on disk: readers that take what is missing for empty, writers that replace at once."""
+"""Tables, text blobs, binaries and state on disk: readers that take what was never there for empty, writers that replace at once."""
 
 from __future__ import annotations
 
 import shutil
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.operators.catalog import unique_refs
 from tarnfold.operators.ingest import STATE_VERSION, migrated
 
 ATTACHMENT = "struct<fileId:string,name:string,kind:string,viewerUrl:string,pdfUrl:string,indexed:boolean>"
@@ -29,7 +29,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     wanted = T.ArrayType(T._parse_datatype_string(schema))
     parsed = F.from_json("value", wanted, {"mode": "PERMISSIVE"})
-    return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("row")).select("row.*")
+    files = spark.read.text(path, wholetext=True)
+    one_a_line = F.split(F.rtrim("value"), r"\n(?=\{)")  # files of write_json
+    documents = F.when(F.ltrim("value").startswith("["), F.array("value")).otherwise(one_a_line)
+    return files.select(F.explode(documents).alias("value")).select(F.explode(parsed).alias("row")).select("row.*")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -63,45 +66,95 @@ def read_binaries(spark: SparkSession, path: str, most_bytes: int | None = None)
     return small.unionByName(large)
 
 
+class Versions:
+    """Tables that change together, in folders of their own under path: v-1, v-2 .. A version counts from the moment its
+    marker is there, which is the last thing written, so a run that stops at any point leaves the version before it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _numbers(self) -> list[int]:
+        if not self.fs.exists(self._at("")):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(""))]
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+    def whole(self) -> list[int]:
+        """Versions that were written whole, ascending."""
+        return [n for n in self._numbers() if self.fs.exists(self._at(f"v-{n}/{MARKER}"))]
+
+    def folder(self) -> str | None:
+        """The newest version's folder; None before the first."""
+        found = self.whole()
+        return f"{self.path}/v-{found[-1]}" if found else None
+
+    def write(self, tables: dict[str, DataFrame], check=lambda read: None, keep: int = 2) -> None:
+        """A new version of all tables, which may be made of the ones that stand there. check sees them as written, by name, and may raise."""
+        number = max(self._numbers(), default=0) + 1
+        at = f"{self.path}/v-{number}"
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{at}/{name}")
+        check(lambda name: self.spark.read.parquet(f"{at}/{name}"))
+        self.fs.create(self._at(f"v-{number}/{MARKER}"), False).close()
+        for old in self.whole()[:-keep]:
+            self.fs.delete(self._at(f"v-{old}"), True)
+
+
+MARKER = "_WHOLE"
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """df in the place of what was at path, which may be what df reads: written beside it, then renamed."""
-    spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    staged, old = fs_path(f"{path}.staged"), fs_path(f"{path}.old")
-    at = fs_path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(str(staged))
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    if not fs.rename(staged, at):
-        fs.rename(old, at)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(old, True)
+    """df in the place of what was at path, which may be what df reads."""
+    Versions(df.sparkSession, path).write({"table": df})
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was last put at path by replace_table or save_documents; None before the first."""
+    at = Versions(spark, path).folder()
+    return spark.read.parquet(f"{at}/table") if at else None
+
+
+def save_documents(documents: DataFrame, path: str) -> None:
+    """Rows of documents as a table; a ref that occurs twice ends the run and leaves the table that was there."""
+    Versions(documents.sparkSession, path).write({"table": documents}, check=lambda read: unique_refs(read("table")))
 
 
 def save_state(path: str, org: str, meetings: DataFrame, documents: DataFrame) -> None:
-    """Both tables first, then the row that names version and organisation."""
-    replace_table(meetings, f"{path}/meetings")
-    replace_table(documents, f"{path}/documents")
-    replace_table(meetings.sparkSession.createDataFrame([(STATE_VERSION, str(org))], "version int, org string"), f"{path}/about")
+    """Both tables and the row that names version and organisation, together."""
+    spark = meetings.sparkSession
+    about = spark.createDataFrame([(STATE_VERSION, str(org))], "version int, org string")
+    Versions(spark, path).write({"meetings": meetings, "documents": documents, "about": about})
 
 
 def load_state(spark: SparkSession, path: str, org: str) -> tuple[DataFrame, DataFrame]:
-    """(meetings, documents) of an organisation, brought to this version; empty for another one or where there are none."""
+    """(meetings, documents) of an organisation, brought to this version; empty for another one or where nothing was saved.
+
+    What was saved and cannot be read is an error, not an empty state.
+    """
     empty = spark.createDataFrame([], STATE_MEETINGS), spark.createDataFrame([], STATE_DOCUMENTS)
-    try:
-        about = spark.read.parquet(f"{path}/about").first()
-        meetings, documents = spark.read.parquet(f"{path}/meetings"), spark.read.parquet(f"{path}/documents")
-    except AnalysisException:
-        return empty
+    at = Versions(spark, path).folder()
+    about = spark.read.parquet(f"{at}/about").first() if at else None
     if not about or about.org != str(org) or about.version not in (2, 3, STATE_VERSION):
         return empty
-    return meetings, migrated(documents, about.version)
+    return spark.read.parquet(f"{at}/meetings"), migrated(spark.read.parquet(f"{at}/documents"), about.version)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON documents, one a line; read_json gives them back."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_binaries(df: DataFrame, path: str) -> None:
+    """(key, content), the bytes of files, as one table by key."""
+    df.select("key", "content").write.mode("overwrite").parquet(path)
 
 
 def write_texts(df: DataFrame, path: str) -> None:
-    """(key, text) as one table by key; read_table gives it back."""
+    """(key, text) as one table by key."""
     df.select("key", "text").write.mode("overwrite").parquet(path)
 
 

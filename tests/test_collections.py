@@ -41,3 +41,11 @@ def test_share(spark):
 def test_merge(spark, own, new, stars, added):
     x = run(spark, own, lambda r: c.merge(r, F.array(*map(F.lit, new))))
     assert (x.stars, x.added) == (stars, added)
+
+
+def test_all_starred_documents_count(spark):
+    refs = spark.range(700).selectExpr("concat('f', id) as ref")
+    documents = refs.selectExpr("ref", "1 as meeting_id", "1 as sort_order")
+    meetings = spark.createDataFrame([(1, "2020-01-01")], "meeting_id int, date string")
+    assert c.documents_of(refs, documents, meetings).count() == 700 and c.missing(refs, documents).first().missing == 0
+    assert run(spark, ["f1"], c.cleared) == [] and run(spark, None, c.cleared) == []

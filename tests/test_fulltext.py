@@ -90,10 +90,11 @@ def test_no_terms_and_empty_index(spark):
 
 
 @pytest.fixture(scope="module")
-def library(spark, index):
+def library(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, title string, item_title string, presenter string, text string").selectExpr("*", "doc_id % 40 as meeting_id", "case when doc_id % 2 = 0 then 'minutes' else 'attachment' end as kind", "concat('f', doc_id) as ref")
     meetings = spark.range(40).selectExpr("id as meeting_id", "case when id % 10 > 0 then concat(2000 + id % 4, '-01-0', id % 9 + 1) end as date", "case when id % 10 > 0 then cast(2000 + id % 4 as int) end as year", "concat('Meeting ', id) as meeting_name")
-    return search.Library(docs, meetings, index)
+    meetings = meetings.where("meeting_id <> 39")
+    return search.Library(docs, meetings, build(search.with_facts(docs, meetings)).cached())
 
 
 @pytest.mark.parametrize("sort", ["rank", "newest", "oldest"])
@@ -115,6 +116,24 @@ def test_search_relaxes_and_keeps_its_plan(library):
     assert none is None and told["message"].startswith("Add at least")
 
 
+def test_a_search_equals_its_parts(library):
+    for request in (Request("bond"), Request("zzz bond levy", sort="newest"), Request("bond -levy", 2001, "attachment")):
+        rows, told = search.search(library, request)
+        plan, n = search.choose_plan(library, request)
+        assert (told["plan"], told["total"]) == (plan, n) and n == search.count_matches(library, plan, request).first().n
+        assert rows.collect() == search.full_page(library, plan, request).collect()
+        assert all(r.meeting_id != 39 for r in search.results(library, plan, request).collect())
+
+
+def test_a_ranked_search_reads_the_postings_once_and_joins_nothing(library, spark, tmp_path):
+    library.index.write(str(tmp_path / "plan"))
+    written = search.Library(library.documents, library.meetings, Index.read(spark, str(tmp_path / "plan")))
+    rows = search.page(written, compile_query('bond "school bus" -levy'))
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not any(f"{kind}Join" in plan for kind in ("SortMerge", "BroadcastHash", "ShuffledHash", "NestedLoop")) and "ReusedExchange" in plan and "PushedFilters: [Or" in rows._jdf.queryExecution().explainString(rows._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_filters_do_not_change_ranks(library):
     plan = compile_query("bond")
     every = {r.doc_id: r["rank"] for r in search.results(library, plan).collect()}

@@ -52,10 +52,58 @@ def test_state_round_trip_and_migration(spark, tmp_path):
     store.save_state(p, "9", *store.load_state(spark, p, "9"))  # over what it reads
     assert [x.count() for x in store.load_state(spark, p, "9")] == [1, 1]
     assert [x.count() for x in store.load_state(spark, p, "8")] == [0, 0]
-    spark.createDataFrame([(2, "9")], "version int, org string").write.mode("overwrite").parquet(f"{p}/about")
+    spark.createDataFrame([(2, "9")], "version int, org string").write.mode("overwrite").parquet(f"{store.Versions(spark, p).folder()}/about")
     assert store.load_state(spark, p, "9")[1].first().ocr_pending is True
 
 
+def test_a_run_that_stops_anywhere_leaves_the_state_before_it(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "state")
+    docs = lambda n: spark.createDataFrame([(str(i), "h", 5, 0, 1, "none", None, None, None, None, None) for i in range(n)], store.STATE_DOCUMENTS)
+    meetings = spark.createDataFrame([], store.STATE_MEETINGS)
+    store.save_state(p, "9", meetings, docs(1))
+    writer = type(meetings.write)
+    parquet = writer.parquet
+    for stop_at in range(4):
+        steps = iter(range(10))
+
+        def stopping(self, path, *args, steps=steps, stop_at=stop_at, **kwargs):
+            if next(steps) == stop_at:
+                raise KeyboardInterrupt
+            parquet(self, path, *args, **kwargs)
+
+        with monkeypatch.context() as m:
+            m.setattr(writer, "parquet", stopping)
+            if stop_at == 3:  # all is written but the marker
+                m.setattr(store, "MARKER", "_ELSE")
+                store.save_state(p, "9", meetings, docs(2))
+            else:
+                with pytest.raises(KeyboardInterrupt):
+                    store.save_state(p, "9", meetings, docs(2))
+        assert store.load_state(spark, p, "9")[1].count() == 1
+    store.save_state(p, "9", meetings, docs(3))
+    assert store.load_state(spark, p, "9")[1].count() == 3
+
+
+def test_a_ref_that_occurs_twice_keeps_the_documents_that_were_there(spark, tmp_path):
+    p = str(tmp_path / "documents")
+    assert store.read_table(spark, p) is None
+    store.save_documents(spark.createDataFrame([("f1",), ("f2",)], "ref string"), p)
+    with pytest.raises(ValueError, match="f3"):
+        store.save_documents(spark.createDataFrame([("f3",), ("f3",)], "ref string"), p)
+    assert sorted(r.ref for r in store.read_table(spark, p).collect()) == ["f1", "f2"]
+    store.replace_table(store.read_table(spark, p).where("ref = 'f1'"), p)  # over what it reads
+    assert [r.ref for r in store.read_table(spark, p).collect()] == ["f1"]
+
+
+def test_rows_as_json_and_reports(spark, tmp_path):
+    store.write_json(spark.createDataFrame([(1, "x\ny{"), (2, None)], "a int, b string"), f"{tmp_path}/j")
+    assert sorted(map(tuple, store.read_json(spark, f"{tmp_path}/j", "a int, b string").collect())) == [(1, "x\ny{"), (2, None)]
+    d = spark.createDataFrame([("minutes", "abc"), ("minutes", ""), ("attachment", None)], "kind string, text string")
+    m = spark.createDataFrame([(2020, "2020-01-02", True, False), (2021, "2021-01-02", False, True)], "year int, date string, docs_indexed boolean, cancelled boolean")
+    told = catalog.report(d, m).splitlines()
+    assert told[0] == "Meetings    2 (1 with documents, 1 cancelled), 2020-01-02 to 2021-01-02" and len(told) == 5 and told[3].startswith("2021")
+
+
 def test_texts_binaries_json(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t/minutes-1.txt").write_text("a\nb")
@@ -87,12 +135,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = merge.current(spark, f"{tmp_path}/table")
     assert {r.k for r in got.collect()} == set(range(7)) and got.count() == 7
     assert len(merge.versions(spark, f"{tmp_path}/table")) == 2
-    last = merge.versions(spark, f"{tmp_path}/table")[-1]
-    again = spark.createDataFrame(rows[40:], schema)
-    before = sorted(map(tuple, got.collect()))
-    merge.merge_into(f"{tmp_path}/table", "k", "at")(again, last + 1)
-    merge.merge_into(f"{tmp_path}/table", "k", "at")(again, last + 1)  # a batch that runs twice
-    assert len(before) == merge.current(spark, f"{tmp_path}/table").count()
+    again = spark.createDataFrame([(99, 3, 50, "new"), (98, 100, 1, "other")], schema)
+    for batch in (7, 7, 0):  # a batch that runs twice, and a stream without its checkpoint
+        merge.merge_into(f"{tmp_path}/table", "k", "at", buckets=5)(again, batch)
+        now = {r.k: r.v for r in merge.current(spark, f"{tmp_path}/table").collect()}
+        assert now.keys() == {*range(7), 100} and now[3] == "new" and now[100] == "other"
+    done = merge.run_within(merge.start(read, f"{tmp_path}/table", f"{tmp_path}/check", "k", "at"), 60)
+    assert done and merge.current(spark, f"{tmp_path}/table").count() == 8
+
+
+def test_a_budget_ends_a_stream_without_harm(spark, tmp_path):
+    for part in range(6):
+        spark.createDataFrame([(part, part, 1, "v")], "n long, k long, at long, v string").coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
+    read = lambda: spark.readStream.schema("n long, k long, at long, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    begin = lambda: merge.start(read(), f"{tmp_path}/table", f"{tmp_path}/check", "k", "at")
+    assert not merge.run_within(begin(), 0)
+    for _ in range(10):
+        if merge.run_within(begin(), 30):
+            break
+    assert merge.current(spark, f"{tmp_path}/table").count() == 6
 
 
 def test_feed(spark):
