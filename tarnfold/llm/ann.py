@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, best bin first.
 
-Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest norm; the tree
-is fitted on the driver to a bounded sample (about SAMPLE vectors), and every vector is put into its leaf. A query
+Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the largest norm. The top of the tree
+is fitted on the driver to a bounded sample (about SAMPLE vectors); leaves that turn out too large for LEAF_SHARE
+vectors a leaf are split further on the workers, each by a tree fitted to a sample of its own members, so the number of
+leaves grows with the table, up to MOST_LEAVES, beyond which leaves do. Every vector is put into its leaf. A query
 goes down the tree through a priority queue of branches, nearest centroid first. How many leaves it visits is
 calibrated: exact neighbours of about CALIBRATION queries are found by brute force, and visits widen to the fewest
 with which TARGET of them are reached (and on, until a query has seen enough vectors). Leaves are
-dealt out in groups, a few for each core and of GROUP vectors at least, large leaves over several; a group's
+dealt out in groups of even size, a few for each core and of GROUP vectors at least, large leaves over several; each group is a task of its own; a group's
 vectors lie in memory while its queries stream past, each compared with the leaves that it visits. The
 sample's vectors in those leaves bound the query's last place, so a group returns only what may still take one.
 
@@ -22,6 +24,7 @@ with each. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ K = 20
 SAMPLE = 20_000
 LEAF = 40
 BRANCHES = 8
+#: A leaf of more than LEAF_SHARE times its fair size is split; a leaf's sample; the most leaves of a tree.
+LEAF_SHARE, LEAF_SAMPLE, MOST_LEAVES = 4, 4_000, 100_000
 CALIBRATION = 200
 TARGET = 0.95
 GROUP, LARGEST_GROUP = 2048, 1 << 17
@@ -49,13 +54,11 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.children: list[list[int]] = [[]]
         centroids = [x.mean(axis=0) if len(x) else np.zeros(x.shape[1])]
-        self.leaf_of: dict[int, int] = {}
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             parts = self._split(x[rows], branches, rng) if len(rows) > leaf else []
             if len(parts) < 2:
-                self.leaf_of[node] = len(self.leaf_of)
                 continue
             for c, at in parts:
                 self.children[node].append(len(centroids))
@@ -63,6 +66,28 @@ class Tree:
                 centroids.append(c)
                 self.children.append([])
         self.centroids = np.stack(centroids)
+        self._number()
+
+    def graft(self, leaf_nodes: dict[int, Tree]) -> None:
+        """Each given leaf node becomes the root of a tree; leaves are numbered again, in the order of the nodes."""
+        centroids = [self.centroids]
+        for node, sub in leaf_nodes.items():
+            base = sum(map(len, centroids)) - 1  # the root of sub is node itself
+            self.children[node] = [base + c for c in sub.children[0]]
+            self.children += [[base + c for c in cs] for cs in sub.children[1:]]
+            centroids.append(sub.centroids[1:])
+        self.centroids = np.concatenate(centroids)
+        self._number()
+
+    def _number(self) -> None:
+        """Leaves from left to right, so that neighbouring numbers are neighbouring places."""
+        self.leaf_of, todo = {}, [0]
+        while todo:
+            node = todo.pop()
+            if self.children[node]:
+                todo += reversed(self.children[node])
+            else:
+                self.leaf_of[node] = len(self.leaf_of)
         self.n_leaves = len(self.leaf_of)
 
     @staticmethod
@@ -176,19 +201,14 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     in_sample = drawn(SAMPLE / max(n_index, 1), "vec_id", "x")
     sample = _matrix(index.where(in_sample).orderBy("vec_id", "x").select("x").toArrow()["x"].combine_chunks(), d)
     tree = Tree(widened(sample, largest))
-    shared = spark.sparkContext.broadcast((tree, largest))  # at most a node for each vector of the sample
-
-    def in_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, largest = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(widened(_matrix(b.column(1), d), largest))), *b.columns], ["leaf", "vec_id", "x"])
-
-    leaved = written(in_arrow(index, in_leaf, "leaf int, vec_id long, x array<double>"), "leaves")
+    leaved = _grown(index, tree, n_index, largest, d)
+    shared = spark.sparkContext.broadcast((tree, largest))  # at most MOST_LEAVES leaves and little more nodes
     looked_at = leaved.where(in_sample).select("leaf", "x").toArrow().combine_chunks()
     of_sample = spark.sparkContext.broadcast((_matrix(looked_at["x"].combine_chunks(), d), looked_at["leaf"].to_numpy()))
     in_leaves = dict(map(tuple, leaved.groupBy("leaf").count().collect()))  # a row for each leaf
     asked = written(queries.select(class_of.alias("c"), "vec_id", "x"), "queries")
-    classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
+    # Few rows, each of which takes long: over all cores.
+    classes = written(asked.groupBy("c").agg(F.first("x").alias("x")).repartition(2 * spark.sparkContext.defaultParallelism, "c"), "classes")
     visits = _calibrated(leaved, classes, tree, largest, d, k, target)
     # Leaves to groups: small leaves share one, large ones are dealt over several.
     place, group, room = {}, 0, size
@@ -265,7 +285,8 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                     found = [(i[s >= low], s[s >= low]) for (i, s), low in zip(nearest(q, x, ids, k + 1, spans), least)]
                     yield pa.RecordBatch.from_arrays([some.column(2), _near_array(found)], ["c", "near"])
 
-    both = dealt.unionByName(sent).repartition("group").sortWithinPartitions("group", "kind")
+    # Groups are of even size; each goes to the task of its number.
+    both = dealt.unionByName(sent).repartitionById(max(1, 1 + max((first + many - 1 for first, many in place.values()), default=0)), F.col("group")).sortWithinPartitions("group", "kind")
     some = in_arrow(both, compare, f"c struct<a:long,b:long>, near {NEAR}")
     each = some.select("c", F.explode("near").alias("n")).select("c", "n.score", "n.vec_id")
     best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))
@@ -275,6 +296,42 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     return ids.join(salted, ["c", "salt"]).select("query_id", "near")
 
 
+def _grown(index: DataFrame, tree: Tree, n_index: int, largest: float, d: int) -> DataFrame:
+    """(leaf, vec_id, x) of all vectors; splits tree where leaves are too large, as often as that takes."""
+    fair = max(LEAF, n_index // MOST_LEAVES)
+    while True:
+        shared = index.sparkSession.sparkContext.broadcast((tree, largest))
+
+        def in_leaf(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tree, largest = shared.value
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(tree.assign(widened(_matrix(b.column(1), d), largest))), *b.columns], ["leaf", "vec_id", "x"])
+
+        leaved = written(in_arrow(index, in_leaf, "leaf int, vec_id long, x array<double>"), "leaves")
+        large = {r.leaf: r["count"] for r in leaved.groupBy("leaf").count().where(F.col("count") > LEAF_SHARE * fair).collect()}  # fewer than leaves
+        if not large:
+            return leaved
+        shares = index.sparkSession.createDataFrame([(leaf, LEAF_SAMPLE / n, n) for leaf, n in large.items()], "leaf int, share double, n long")
+
+        def split(table: pa.Table) -> pa.Table:
+            x, n = _matrix(table["x"].combine_chunks(), d), table["n"][0].as_py()
+            order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
+            sub = Tree(widened(x[order], largest), leaf=max(2, fair * len(x) // n))
+            return pa.table({"leaf": pa.array([table["leaf"][0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps((sub.centroids, sub.children))], pa.binary())})
+
+        sample = leaved.join(F.broadcast(shares), "leaf").where(drawn(F.col("share"), "vec_id", "x"))
+        node_of = {leaf: node for node, leaf in tree.leaf_of.items()}
+        grafts = {}
+        for r in sorted(sample.groupBy("leaf").applyInArrow(split, "leaf int, tree binary").collect(), key=lambda r: r.leaf):
+            sub = Tree.__new__(Tree)
+            sub.centroids, sub.children = pickle.loads(r.tree)
+            if len(sub.children) > 1:
+                grafts[node_of[r.leaf]] = sub
+        if not grafts:  # what is left cannot be told apart
+            return leaved
+        tree.graft(grafts)
+
+
 def _calibrated(leaved: DataFrame, classes: DataFrame, tree: Tree, largest: float, d: int, k: int, target: float) -> int:
     """The fewest leaves with which a sample of queries reaches `target` of its exact neighbours."""
     rows = classes.where(drawn(CALIBRATION / max(classes.count(), 1), "c")).orderBy("c").select("x").toArrow()["x"].combine_chunks()

@@ -3,8 +3,10 @@
 A text's vector counts its character n-grams (1 to 3 characters of the lowered text, anything but
 letters taken as one gap) in hashed dimensions, damped, weighted by inverse document frequency and
 normalised. Document frequencies are counted over every training document, with one partial array for
-each task. Each language gets several centroids: spherical k-means over a bounded sample of its training
-documents (about SAMPLE a language, by hash). A text takes the language of the centroid of highest
+each task. Each language gets several centroids: spherical k-means over a bounded sample of its different training
+documents (about SAMPLE a language, by hash; fewer where there are many languages, SAMPLE_ALL in all), on the workers. The
+model holds the CENTROIDS_ALL centroids that the driver and each worker have room for: with more than a quarter as many languages each
+gets fewer, and beyond CENTROIDS_ALL values of lang the rarest ones are not learnt (so a column of dirt is no error). A text takes the language of the centroid of highest
 cosine; it is rejected where that cosine is below `least`, a low quantile of the training sample's own.
 
 Defined results: `und` and score 0 for a null text, a text without letters, and where there is nothing to
@@ -27,7 +29,7 @@ DIMS = 1 << 12
 SAMPLE = 400
 CENTROIDS = 4
 REJECT_QUANTILE = 0.002
-MOST_LANGUAGES = 500
+SAMPLE_ALL, CENTROIDS_ALL = 40_000, 8_000
 _CHARS = 1 << 18  # characters counted at once
 
 _letters: np.ndarray | None = None
@@ -148,11 +150,13 @@ def learn(docs: DataFrame) -> Model | None:
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    langs = train.groupBy("lid_lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    shares = docs.sparkSession.createDataFrame([(lang, SAMPLE / many) for lang, many in langs], "l2 string, share double")
-    sample = train.join(F.broadcast(shares), F.col("lid_lang") == F.col("l2")).where(drawn(F.col("share"), "lid_id", "lid_text"))
+    langs = train.groupBy("lid_lang").count().orderBy(F.desc("count"), "lid_lang").limit(CENTROIDS_ALL).collect()
+    each = min(SAMPLE, max(2 * CENTROIDS, SAMPLE_ALL // len(langs)))
+    most = max(1, min(CENTROIDS, CENTROIDS_ALL // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(lang, each / many) for lang, many in langs], "l2 string, share double")
+    picked = train.join(F.broadcast(shares), F.col("lid_lang") == F.col("l2")).where(drawn(F.col("share"), "lid_id", "lid_text"))
+    # Copies of one row are drawn together and count once, so a language's sample stays small.
+    sample = picked.groupBy("lid_lang", F.xxhash64("lid_id", "lid_text").alias("h")).agg(F.min("lid_text").alias("lid_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,20 +165,21 @@ def learn(docs: DataFrame) -> Model | None:
                 x = vectors(texts[a:z], idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = in_arrow(sample.select("lid_lang", "lid_text"), run, "lang string, x binary").groupBy("lang").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    centroids, languages, own = [], [], []
-    for lang, xs in rows.orderBy("lang").toLocalIterator():  # one language at a time: about SAMPLE vectors
-        x = np.stack([np.frombuffer(v, dtype=np.float16) for v in xs]).astype(np.float32)
-        c = k_means(x, CENTROIDS)
-        own.append((x @ c.T).max(axis=1))
-        centroids.append(c)
-        languages += [lang] * len(c)
-    return Model(idf, np.concatenate(centroids), languages, float(np.quantile(np.concatenate(own), REJECT_QUANTILE)))
+    def clustered(table: pa.Table) -> pa.Table:
+        """The centroids of one language's sample, and how near its texts are to them."""
+        x = np.stack([np.frombuffer(v, dtype=np.float16) for v in sorted(table["x"].to_pylist())]).astype(np.float32)
+        c = k_means(x, most)
+        return pa.table({"lang": [table["lang"][0].as_py()], "c": pa.array([[r.tobytes() for r in c]], pa.list_(pa.binary())), "own": pa.array([(x @ c.T).max(axis=1).tolist()], pa.list_(pa.float64()))})
+
+    vectors_of = in_arrow(sample.select("lid_lang", "lid_text"), run, "lang string, x binary")
+    rows = sorted(vectors_of.groupBy("lang").applyInArrow(clustered, "lang string, c array<binary>, own array<double>").collect())  # a row for each language learnt
+    centroids = np.stack([np.frombuffer(c, dtype=np.float32) for r in rows for c in r.c])
+    return Model(idf, centroids, [r.lang for r in rows for _ in r.c], float(np.quantile(np.concatenate([r.own for r in rows]), REJECT_QUANTILE)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row: score is the best cosine, rejected if that is too far off."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers for each of at most CENTROIDS * MOST_LANGUAGES centroids
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers for each of at most CENTROIDS_ALL centroids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

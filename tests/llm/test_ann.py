@@ -90,3 +90,21 @@ def test_groups_of_any_size(spark, monkeypatch, group):
     want = found(ann.op5_nearest_neighbours(frame(spark, rows)))
     monkeypatch.setattr(ann, "GROUP", group)
     assert found(ann.op5_nearest_neighbours(frame(spark, rows))) == want
+
+
+def test_leaves_grow_with_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 12)) * 3
+    x = (centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 12)) * 0.3).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    monkeypatch.setattr(ann, "LEAF_SAMPLE", 300)
+    trees = []
+    calibrated = ann._calibrated
+    monkeypatch.setattr(ann, "_calibrated", lambda leaved, classes, tree, *a: trees.append((tree, leaved.groupBy("leaf").count().agg({"count": "max"}).first()[0])) or calibrated(leaved, classes, tree, *a))
+    got, want = found(ann.op5_nearest_neighbours(frame(spark, rows))), brute(rows, 20)
+    (tree, largest), = trees
+    assert tree.n_leaves > 100 and largest <= ann.LEAF_SHARE * ann.LEAF
+    assert sorted(tree.leaf_of.values()) == list(range(tree.n_leaves)) and sorted(next(iter(tree.best_bins(np.zeros((1, 13)))))) == list(range(tree.n_leaves))
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * 20 * len(want)
