@@ -1,11 +1,15 @@
-"""Snippets: the window of a field's tokens that holds most of the query, with its matches marked.
+"""Snippets: the window of a field's tokens that shows most of the query, with its matches marked.
 
-The window of n tokens with the most different terms, the earliest of those; a field without a match gives
-its head, null gives null. What is cut off on a side shows as an ellipsis. Run on the rows that a limit left.
+Windows are rated as SQLite's full-text engine rates them: a thousand for each different term that begins in it and one
+for each further occurrence. A window stands so that its occurrences are in the middle, or begins with a sentence, which is
+worth a hundred (120 at the text's head); the first of the best wins. A field without a match gives its head, null
+gives null. What is cut off on a side shows as an ellipsis. Run on the rows that a limit left.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -22,14 +26,52 @@ _RUN = regex.compile(RAW_RUN)
 
 
 def spans_of(words: list[str], terms: list[tuple[list[str], bool]]) -> list[tuple[int, int, int]]:
-    """(first token, after the last token, term) of each occurrence."""
+    """(first token, after the last token, term) of each occurrence, by first token and term."""
     out = []
     for no, (ts, prefix) in enumerate(terms):
         for i in range(len(words) - len(ts) + 1 if ts else 0):
             *head, last = zip(words[i : i + len(ts)], ts)
             if all(a == b for a, b in head) and (last[0].startswith(last[1]) if prefix else last[0] == last[1]):
                 out.append((i, i + len(ts), no))
-    return sorted(out)
+    return sorted(out, key=lambda span: (span[0], span[2]))
+
+
+def sentences(text: str, at: list[tuple[int, int]]) -> list[int]:
+    """The tokens that begin a sentence: the first, and those behind white space that a full stop or a colon precedes."""
+    starts = []
+    for i, (begin, _) in enumerate(at):
+        before = text[at[i - 1][1] : begin] if i else ""
+        bare = before.rstrip(" \t\n\r")
+        if not i or (bare != before and bare[-1:] in (".", ":")):
+            starts.append(i)
+    return starts
+
+
+def best_window(found: list[tuple[int, int, int]], n_words: int, starts: list[int], n: int) -> int:
+    """The first token of the window of n that rates best."""
+    firsts = [f[0] for f in found]
+
+    def inside(at: int) -> list[tuple[int, int, int]]:
+        return found[bisect_left(firsts, at) : bisect_left(firsts, at + n)]
+
+    def rate(spans: list[tuple[int, int, int]]) -> int:
+        different = len({no for _, _, no in spans})
+        return 1000 * different + len(spans) - different
+
+    best, where = 0, 0
+    for at in firsts:
+        spans = inside(at)
+        if rate(spans) > best:
+            first, last = spans[0][0], spans[-1][1]
+            room = n - (last - first)
+            middle = first - (room // 2 if room >= 0 else -(-room // 2))
+            best, where = rate(spans), max(0, min(middle, n_words - n))
+        if n_words > n:
+            sentence = starts[bisect_right(starts, at) - 1]
+            rated = rate(inside(sentence)) + (100 if sentence else 120)
+            if sentence < at and rated > best:
+                best, where = rated, sentence
+    return where
 
 
 def snippet(text: str | None, terms: list[tuple[list[str], bool]], n: int, marks: tuple[str, str] = (OPEN, CLOSE), ellipsis: str = ELLIPSIS) -> str | None:
@@ -37,16 +79,10 @@ def snippet(text: str | None, terms: list[tuple[list[str], bool]], n: int, marks
         return None
     at = [m.span() for m in _RUN.finditer(text)]
     found = spans_of([fold_text(text[a:b]) for a, b in at], terms)
-    start, most = 0, 0
-    for first, _, _ in found:  # the best window begins at a match, or at the head
-        begin = max(0, min(first, len(at) - n))
-        different = len({no for a, b, no in found if begin <= a and b <= begin + n})
-        if different > most:
-            start, most = begin, different
+    start = best_window(found, len(at), sentences(text, at), n)
     stop = min(len(at), start + n)
-    inside = [(a, b) for a, b, _ in found if start <= a and b <= stop]
-    merged: list[list[int]] = []
-    for a, b in inside:
+    merged: list[list[int]] = []  # occurrences that overlap are marked as one
+    for a, b, _ in found:
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
@@ -55,8 +91,10 @@ def snippet(text: str | None, terms: list[tuple[list[str], bool]], n: int, marks
     right = at[stop - 1][1] if stop < len(at) else len(text)
     out, done = [ellipsis] if start else [], left
     for a, b in merged:
-        out += [text[done : at[a][0]], marks[0], text[at[a][0] : at[b - 1][1]], marks[1]]
-        done = at[b - 1][1]
+        if start <= a < stop:
+            end = at[min(b, stop) - 1][1]
+            out += [text[done : at[a][0]], marks[0], text[at[a][0] : end], marks[1]]
+            done = end
     return "".join([*out, text[done:right], ellipsis if stop < len(at) else ""])
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import shutil
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfold.operators.catalog import unique_refs
 from tarnfold.operators.ingest import STATE_VERSION, migrated
+from tarnfold.shipping import ship
 
 ATTACHMENT = "struct<fileId:string,name:string,kind:string,viewerUrl:string,pdfUrl:string,indexed:boolean>"
 ITEM = f"struct<itemId:string,parentId:string,depth:int,label:string,title:string,qualifier:string,presenter:string,description:string,attachments:array<{ATTACHMENT}>,order:int>"
@@ -166,3 +168,20 @@ def ocr_available(which=shutil.which) -> bool:
 def extracted(files: DataFrame, extractor, schema: str) -> DataFrame:
     """files through a pluggable extractor (an iterator of pandas frames in, one out) for formats read outside the engine."""
     return files.mapInPandas(extractor, schema)
+
+
+def read_page_by_page(pages: DataFrame, read) -> DataFrame:
+    """(doc, page, text, failed) of pages (doc, page, content): read(content) -> text; a page that fails is a row of its own
+    with what went wrong, and the other pages of its document go on."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, page, content in b.itertuples(index=False, name=None):
+                try:
+                    rows.append((doc, page, read(content), None))
+                except Exception as e:  # noqa: BLE001  whatever a reader of foreign files may raise
+                    rows.append((doc, page, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc", "page", "text", "failed"])
+
+    ship(pages.sparkSession)
+    return pages.select("doc", "page", "content").mapInPandas(run, "doc string, page int, text string, failed string")
