@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,6 +20,7 @@ def ship(spark: SparkSession) -> None:
     _sent.add(sc.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "tarnfold.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(path), True)
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(home):
             for name in sorted(names):
