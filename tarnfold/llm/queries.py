@@ -18,7 +18,7 @@ QUERIES = {
     "op10_simhash": lambda spark, d: simhash.op10_simhash(table(spark, d, "documents")),
 }
 
-#: Packing, language identification, toxicity and SimHash have no SQL; tests hold them against brute force or held-out labels.
+#: Packing, nearest neighbours, language identification, LM scoring, toxicity and SimHash have no SQL; tests hold them against brute force.
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE,
     "op2_chat_formatting": chat.ORACLE,

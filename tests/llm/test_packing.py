@@ -108,3 +108,17 @@ def test_empty_table(no_docs):
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
 def test_cuts(n, want):
     assert packing.cuts(n, 2048) == want
+
+
+def test_both_ways_of_encoding_agree_on_odd_strings():
+    """Control characters, strings that name special tokens, long runs of one character, every code point of the fast way."""
+    ranks = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    special = [t.content for t in tok.get_added_tokens_decoder().values()] or ["<|endoftext|>"]
+    texts = ["".join(map(chr, range(0x250))), "".join(chr(i) + "a " for i in range(0x250)), "\x00\x01\x1f\x7f\x80\x9f\xa0\xad", "\r\n\r\r\n \t\v\f  \n", "a" * 20_000, " " * 20_000, "\n" * 5_000, "!" * 9_999, "7" * 9_999, "é" * 5_000, "aB" * 9_999,
+             "it's we'll I'D they'VE 'S'", "x\u200by 日本 \U0001f600 \u0301", *special, *[f"a{t}b {t} {t}{t}" for t in special], "</s>[INST]<s><|im_start|>"]
+    encode = packing.encoder(path, ranks)
+    for t in texts:
+        assert encode(t) == tok.encode(t, add_special_tokens=False).ids, t[:50]
