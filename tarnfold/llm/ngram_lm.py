@@ -44,10 +44,10 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 #: Bytes of text for each cell of pairs, and bits that tell the cells of one file; words take a quarter of the cells.
 CELL_BYTES, SHARD_BITS = 8 << 20, 2
 FANOUT_BITS = 12
-_PAIRS = 1 << 21  # pairs counted at once
-_HELD = 1 << 22  # different pairs or words that a task holds before it sends them
+_PAIRS = 1 << 20  # pairs counted at once
+_HELD = 3 << 20  # different pairs or words that a task holds before it sends them
 _TOKENS = 1 << 18  # tokens scored at once
-_WORDS = 1 << 19  # words whose hashes a worker keeps
+_WORDS = 1 << 18  # words whose hashes a worker keeps
 _OPEN = 4096  # files that a worker keeps mapped
 
 
@@ -145,11 +145,18 @@ class Held:
                 yield from self.sent()
 
     def _merge(self) -> None:
-        keys, *columns = (np.concatenate(x) for x in zip(*self.held))
-        k = self.kind
-        keys, at, sums = added_up(keys, *columns[k.ids :])
-        self.held = [(keys, *[c[at] for c in columns[: k.ids]], *sums)]
-        self.n = len(keys)
+        # One column after the other, so that what is held is not there twice.
+        columns = [list(x) for x in zip(*self.held)]
+        self.held = []
+        order = np.argsort(keys := np.concatenate(columns.pop(0)), kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+        first, out = order[starts], [keys[starts]]
+        del keys
+        for i in range(len(columns)):
+            c, columns[i] = np.concatenate(columns[i]), []
+            out.append(c[first] if i < self.kind.ids else np.add.reduceat(c[order], starts) if len(starts) else c)
+        self.held, self.n = [tuple(out)], len(starts)
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
