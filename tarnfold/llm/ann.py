@@ -207,8 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
     of_sample = spark.sparkContext.broadcast((_matrix(looked_at["x"].combine_chunks(), d), looked_at["leaf"].to_numpy()))
     in_leaves = dict(map(tuple, leaved.groupBy("leaf").count().collect()))  # a row for each leaf
     asked = written(queries.select(class_of.alias("c"), "vec_id", "x"), "queries")
-    # Few rows, each of which takes long: over all cores.
-    classes = written(asked.groupBy("c").agg(F.first("x").alias("x")).repartition(2 * spark.sparkContext.defaultParallelism, "c"), "classes")
+    classes = written(asked.groupBy("c").agg(F.first("x").alias("x")), "classes")
     visits = _calibrated(leaved, classes, tree, largest, d, k, target)
     # Leaves to groups: small leaves share one, large ones are dealt over several.
     place, group, room = {}, 0, size
@@ -254,7 +253,8 @@ def search(vectors: DataFrame, queries: DataFrame, d: int, k: int = K, target: f
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([1] * len(g), pa.int32()), part.column(0).take(take), pa.array(leaves, pa.list_(pa.int32())), pa.array(least, pa.float64()), part.column(1).take(take)], ["group", "kind", "c", "leaves", "least", "x"])
 
     schema = "group int, kind int, c struct<a:long,b:long>, leaves array<int>, least double, x array<double>"
-    sent = in_arrow(classes.select("c", "x"), to_groups, schema)
+    # Few rows, each of which takes long: over all cores.
+    sent = in_arrow(classes.select("c", "x").repartition(2 * spark.sparkContext.defaultParallelism, "c"), to_groups, schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = -1, [], None
