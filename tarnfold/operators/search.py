@@ -62,7 +62,11 @@ def order_of(sort: str) -> list[Column]:
 
 def results(library: Library, plan: Plan, request: Request = Request()) -> DataFrame:
     """All results: (doc_id, meeting_id, kind, date, year, rank), not ordered."""
-    return _placed(ranked(library.index, plan).withColumn("rank", F.round("rank", 9)), request).select(*RESULT)
+    rows = ranked(library.index, plan).withColumn("rank", F.round("rank", 9))
+    # A filter on what documents are grouped by would go below the aggregation, which then could not serve the document
+    # frequencies as well, and the postings would be read twice; ranks are never above 0, so this only keeps it above.
+    held = {c: F.when(F.col("rank") <= 0, F.col(c)) for c in ("meeting_id", "kind", "year")}
+    return _placed(rows.withColumns(held), request).select(*RESULT)
 
 
 def count_matches(library: Library, plan: Plan, request: Request = Request()) -> DataFrame:

@@ -130,8 +130,9 @@ def test_a_ranked_search_reads_the_postings_once_and_joins_nothing(library, spar
     written = search.Library(library.documents, library.meetings, Index.read(spark, str(tmp_path / "plan")))
     rows = search.page(written, compile_query('bond "school bus" -levy'))
     rows.collect()
-    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert not any(f"{kind}Join" in plan for kind in ("SortMerge", "BroadcastHash", "ShuffledHash", "NestedLoop")) and "ReusedExchange" in plan and "PushedFilters: [Or" in rows._jdf.queryExecution().explainString(rows._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(f"{kind}Join" in plan for kind in ("SortMerge", "BroadcastHash", "ShuffledHash", "NestedLoop")) and "ReusedExchange" in plan
+    assert "PushedFilters: [Or" in plan
 
 
 def test_filters_do_not_change_ranks(library):
