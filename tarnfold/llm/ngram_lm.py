@@ -43,7 +43,7 @@ from tarnfold.llm.common import fold, in_arrow, own_dir, text_of
 BEGIN, END = np.uint64(1), np.uint64(2)
 #: Bytes of text for each cell of pairs, and bits that tell the cells of one file; words take a quarter of the cells.
 CELL_BYTES, SHARD_BITS = 8 << 20, 2
-FANOUT_BITS = 12
+FANOUT_BITS, MOST_TASKS = 12, 1 << 16
 _PAIRS = 1 << 20  # pairs counted at once
 _HELD = 3 << 20  # different pairs or words that a task holds before it sends them
 _TOKENS = 1 << 18  # tokens scored at once
@@ -217,7 +217,9 @@ def dealt(packs: DataFrame, kind: Kind, bits: int) -> DataFrame:
 
         # Neighbouring cells of the first step share a task, so a flush reaches few cells of the second.
         packs = in_arrow(packs.repartition("cell").sortWithinPartitions("cell"), again, PACKS)
-    return packs.repartition(F.shiftright("cell", SHARD_BITS)).sortWithinPartitions("cell")
+    # Shards are of even size; each goes to the task of its number.
+    shards = min(1 << max(0, bits - SHARD_BITS), MOST_TASKS)
+    return packs.repartitionById(shards, F.pmod(F.greatest(F.shiftright("cell", SHARD_BITS), F.lit(0)), F.lit(shards)).cast("int")).sortWithinPartitions("cell")
 
 
 class ShardFile:
