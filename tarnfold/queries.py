@@ -482,7 +482,7 @@ query("html_to_text", f"SELECT page_id, {_sql_block_text()} AS out FROM pages")(
 @query("parse_title", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 4 > 0 THEN '7:05 PM' END AS time, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE 'Special gathering ' || o_orderpriority END AS name FROM orders")
 def _titles(s, d):
     made = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.date_format("o_orderdate", "MMMM d,  yyyy"), F.lit(" at 7:05  PM – "), "o_orderpriority")).otherwise(F.concat(F.lit("Special gathering "), "o_orderpriority"))
-    return c.table(s, d, "orders").select("o_orderkey", text.title_parts(made).alias("p")).select("o_orderkey", "p.date", "p.time", "p.name")
+    return c.spread(c.table(s, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")).select("o_orderkey", text.title_parts(made).alias("p")).select("o_orderkey", "p.date", "p.time", "p.name")
 
 
 @query("item_label", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '5.A.1.' WHEN 1 THEN '' ELSE '12.' END AS label, CASE WHEN p_partkey % 3 = 2 THEN p_name || ' (note)' ELSE p_name END AS title, CASE p_partkey % 3 WHEN 0 THEN '30 minutes, Roll Call Vote' ELSE '' END AS qualifier FROM part")

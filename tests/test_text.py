@@ -39,6 +39,13 @@ def test_titles(spark, raw, want):
     assert (got.date, got.time, got.name) == want
 
 
+def test_a_title_is_read_once(spark):
+    df = spark.createDataFrame([("x",)], "t string")
+    regexps = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    once = regexps(df.select(text.normalize(F.col("t"))))
+    assert 0 < regexps(df.select(text.title_parts(F.col("t")).alias("p")).select("p.date", "p.time", "p.name")) <= once + 2  # a line of it, the date's commas
+
+
 def test_headings(spark):
     got = one(spark, "5.A. Bond Presentation (30 minutes)", text.item_heading)
     assert tuple(got) == ("5.A.", "Bond Presentation", "30 minutes")
